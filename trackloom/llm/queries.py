@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, embeddings, jaccard, licenses, lines, packing, quality, secrets, toxicity
+from trackloom.llm import bpe, embeddings, jaccard, licenses, lines, packing, quality, secrets, substring, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,11 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_documents(spark, sf_dir))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.drop_repeated_substrings(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_recurring_lines(_documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -91,7 +96,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_licenses, op2_quality, op3_bpe, op4_jaccard, op6_lines, op7_secrets, op8_packing, op9_embeddings, op10_toxicity)
+    listed = (op1_licenses, op2_quality, op3_bpe, op4_jaccard, op5_substrings, op6_lines, op7_secrets, op8_packing, op9_embeddings, op10_toxicity)
     return {f.__name__: f for f in listed}
 
 
