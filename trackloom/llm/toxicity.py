@@ -263,3 +263,20 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, id_col: str = "do
         return {"doc_id": batch.column("doc_id").to_pylist(), "score": scores}
 
     return _text.map_texts(_text.texts_of(documents, id_col, text_col), kernel, "doc_id long, score double", _SCORED)
+
+
+def reject_toxic(documents: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The documents, all columns as they are, that score below the threshold."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        memo: dict[str, float] = {}
+        for batch in batches:
+            for part in _text.slices(batch, text_col):
+                if len(memo) > MEMO_WORDS:
+                    memo.clear()
+                held = shared.value
+                keep = [held.score(held.evidence(t, memo)) < threshold for t in _text.as_strings(part.column(text_col))]
+                yield part.filter(pa.array(keep, type=pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
