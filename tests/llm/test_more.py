@@ -8,8 +8,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from trackloom.llm import embeddings, graph, lines, secrets, toxicity
+from trackloom.llm import embeddings, lines, secrets, toxicity
 from trackloom.llm import queries as q
+from trackloom.operators import components as graph
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, n_lines int, blob string, spans int"

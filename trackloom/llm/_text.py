@@ -1,16 +1,18 @@
-"""Helpers shared by the text operators: Arrow batches of texts, word hashes, scratch tables."""
+"""Helpers shared by the text operators: Arrow batches of texts and word hashes."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.tables import written  # noqa: F401
+
+
 #: Bytes of text that a task handles at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -136,23 +138,6 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return mix(out)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which executors and driver share. Where the session
-    names none, as in tests, one below the warehouse is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{root.rstrip('/')}/trackloom-{uuid.uuid4().hex}"
-
-
-def written(frame: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: lineage ends there and survives lost executors."""
-    spark = frame.sparkSession
-    path = scratch_dir(spark)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def texts_of(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only (doc_id, text), so that extra columns can't clash with an operator's own."""
     return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

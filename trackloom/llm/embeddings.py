@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm import _text, graph
+from trackloom.llm import _text
+from trackloom.operators.components import components
 
 #: Vectors of a bucket that are compared with each other by one matrix product.
 BLOCK = 256
@@ -139,7 +140,7 @@ def near_vectors(
         return pd.concat(out) if out else pd.DataFrame({"rid": [], "root": [], "links": []}).astype("int64")
 
     links = _text.written(keyed.groupBy("part").applyInPandas(compare, "rid long, root long, links long"))
-    closed = graph.components(links.select(F.col("rid").alias("a"), F.col("root").alias("b")))
+    closed = components(links.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("rid").agg(F.sum("links").alias("links"))
     whole = reps.select("rid", "least", "copies").join(closed.withColumnRenamed("node", "rid"), "rid", "left").join(counts, "rid", "left")
     whole = whole.withColumn("component", F.coalesce("component", "rid"))
