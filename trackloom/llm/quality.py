@@ -24,6 +24,10 @@ _ARROW = pa.schema([(c, pa.int64()) for c in ["doc_id", *MEASURES]])
 
 
 
+#: Rules in the order of their bits; new ones go at the end.
+RULE_NAMES = ["too_few_words", "repeated_windows", "many_symbols", "many_duplicate_lines", "odd_word_length", "many_exclamations"]
+
+
 def rules() -> dict[str, Column]:
     """Rule name -> condition of failure, in the order of their bits."""
     c = F.col
@@ -46,8 +50,7 @@ POLICIES = {
 
 def policy_mask(version: str) -> int:
     """The bits of a policy's rules."""
-    names = list(rules())
-    return sum(1 << names.index(x) for x in POLICIES[version])
+    return sum(1 << RULE_NAMES.index(x) for x in POLICIES[version])
 
 
 def repeated_words(words: list[bytes], size: int = 5) -> int:
@@ -102,7 +105,7 @@ def quality_ledger(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     schema = ", ".join(f"{c} long" for c in _ARROW.names)
     measured = _text.map_texts(_text.texts_of(documents, id_col, text_col), kernel, schema, _ARROW)
-    bits = [F.when(failed, F.lit(1 << k)).otherwise(F.lit(0)) for k, failed in enumerate(rules().values())]
+    bits = [F.when(failed, F.lit(1 << k)).otherwise(F.lit(0)) for k, failed in enumerate(rules()[name] for name in RULE_NAMES)]
     return measured.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long"))
 
 
@@ -114,7 +117,7 @@ def apply_policy(ledger: DataFrame, version: str = "v2") -> DataFrame:
 def ablation(ledger: DataFrame, version: str = "v2") -> DataFrame:
     """For each rule of the policy: documents that fail it, and those that only it rejects.
     An empty ledger gives zeros."""
-    mask, names = policy_mask(version), list(rules())
+    mask = policy_mask(version)
     failed = F.col("fail_bits").bitwiseAND(F.lit(mask))
     sums = [
         F.struct(
@@ -122,7 +125,7 @@ def ablation(ledger: DataFrame, version: str = "v2") -> DataFrame:
             F.count_if(failed.bitwiseAND(F.lit(1 << k)) != 0).alias("n_failed"),
             F.count_if(failed == (1 << k)).alias("n_only"),
         )
-        for k, name in enumerate(names)
+        for k, name in enumerate(RULE_NAMES)
         if mask >> k & 1
     ]
     return ledger.agg(F.array(*sums).alias("r")).select(F.inline("r"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, embeddings, jaccard, licenses, lines, packing, quality, secrets, substring, toxicity
+from trackloom.llm import bpe, embeddings, jaccard, licenses, lines, packing, quality, secrets, sql, substring, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -42,7 +42,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern = public_tokenizers.PATTERN
-    decoded = bpe.bpe_decode(bpe.bpe_encode(_documents(spark, sf_dir), RANKS, pattern), RANKS, pattern)
+    decoded = bpe.bpe_decode(bpe.bpe_encode(_documents(spark, sf_dir), RANKS, pattern), RANKS)
     return decoded.select(
         "doc_id",
         F.expr("length(ids) div 4").alias("n_tokens"),
@@ -101,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
