@@ -4,33 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+
 
 class SuffixAutomaton:
-    """All substrings of several token sequences. value[v] joins, by `merge`, the labels of the
-    sequences that contain the substrings of state v."""
+    """All substrings of several token sequences. `states` has the state of each prefix of each sequence,
+    in turn; the prefix is the longest string of its state."""
 
-    def __init__(self, sequences: Iterable[tuple[Sequence[int], int]], merge):
+    def __init__(self, sequences: Iterable[Sequence[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.value: list[int | None] = [None]
-        for tokens, label in sequences:
+        self.states: list[int] = []
+        nexts, links, lengths, states = self.next, self.link, self.length, self.states
+        for tokens in sequences:
             last = 0
             for token in tokens:
-                last = self._extend(last, token)
-                held = self.value[last]
-                self.value[last] = label if held is None else merge(held, label)
-        for v in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            up = self.link[v]
-            if up > 0:
-                held = self.value[up]
-                self.value[up] = self.value[v] if held is None else merge(held, self.value[v])
+                q = nexts[last].get(token)
+                if q is not None:
+                    last = q if lengths[q] == lengths[last] + 1 else self._copy(last, token, q)
+                    states.append(last)
+                    continue
+                new = len(links)
+                nexts.append({})
+                links.append(0)
+                lengths.append(lengths[last] + 1)
+                p = last
+                while p >= 0:
+                    held = nexts[p]
+                    if token in held:
+                        q = held[token]
+                        links[new] = q if lengths[q] == lengths[p] + 1 else self._copy(p, token, q)
+                        break
+                    held[token] = new
+                    p = links[p]
+                last = new
+                states.append(last)
 
     def _copy(self, p: int, token: int, q: int) -> int:
         self.next.append(dict(self.next[q]))
         self.link.append(self.link[q])
         self.length.append(self.length[p] + 1)
-        self.value.append(None)
         new = len(self.link) - 1
         self.link[q] = new
         while p >= 0 and self.next[p].get(token) == q:
@@ -38,23 +52,28 @@ class SuffixAutomaton:
             p = self.link[p]
         return new
 
-    def _extend(self, last: int, token: int) -> int:
-        q = self.next[last].get(token)
-        if q is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._copy(last, token, q)
-        self.next.append({})
-        self.link.append(0)
-        self.length.append(self.length[last] + 1)
-        self.value.append(None)
-        new = len(self.link) - 1
-        p = last
-        while p >= 0 and token not in self.next[p]:
-            self.next[p][token] = new
-            p = self.link[p]
-        if p >= 0:
-            q = self.next[p][token]
-            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._copy(p, token, q)
-        return new
+    def merged(self, labels: np.ndarray, start: int, merge: np.ufunc) -> np.ndarray:
+        """For each state, the labels (one for each entry of `states`) of all prefixes that end with its
+        strings, merged; `start` where there are none."""
+        value = np.full(len(self.link), start, dtype=np.int64)
+        merge.at(value, np.array(self.states, dtype=np.int64), labels)
+        link, length = np.array(self.link), np.array(self.length)
+        order = np.argsort(-length, kind="stable")
+        cuts = np.flatnonzero(np.diff(length[order])) + 1
+        for level in np.split(order, cuts):  # links lead to shorter strings only
+            level = level[link[level] > 0]
+            merge.at(value, link[level], value[level])
+        return value
+
+    def suffix_states(self, size: int) -> np.ndarray:
+        """For each state with strings of at least `size` tokens: the state of their last `size`."""
+        link, length = np.array(self.link), np.array(self.length)
+        up = np.where((link > 0) & (length[link] >= size), link, np.arange(len(link)))
+        while True:
+            further = up[up]
+            if np.array_equal(further, up):
+                return up
+            up = further
 
     def step(self, state: int, matched: int, token: int) -> tuple[int, int]:
         """The longest suffix of the text so far, with this token, that the sequences contain: its

@@ -8,8 +8,8 @@ independent of each other, so repeated ids and null ids give one row for each in
 from __future__ import annotations
 
 import re
-from operator import or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -79,13 +79,18 @@ class TemplateIndex:
     """The automaton of all templates and base phrases, and what its states mean."""
 
     def __init__(self, templates: dict[str, list[str]], phrases: dict[str, str], min_match: int, max_gap: int, min_share: float):
+        if sum(map(len, templates.values())) > 62:
+            raise ValueError("at most 62 templates, as they are bits of a 64-bit integer")
         self.min_match, self.max_gap, self.min_share = min_match, max_gap, min_share
         words = sorted({w for texts in [*templates.values(), phrases] for t in texts for w in t.split()})
         self.token = {w.encode(): k for k, w in enumerate(words)}
         self.templates = [(label, [self.token[w.encode()] for w in t.split()]) for label, texts in templates.items() for t in texts]
         of_phrase = [([self.token[w.encode()] for w in t.split()], label) for t, label in phrases.items()]
-        labelled = [(t, 1 << k) for k, (_, t) in enumerate(self.templates)] + [(t, 0) for t, _ in of_phrase]
-        self.automaton = SuffixAutomaton(labelled, or_)
+        sequences = [t for _, t in self.templates] + [t for t, _ in of_phrase]
+        self.automaton = SuffixAutomaton(sequences)
+        bits = np.array([1 << k if k < len(self.templates) else 0 for k, t in enumerate(sequences) for _ in t], dtype=np.int64)
+        #: The templates that contain a state's strings, as bits.
+        self.holders = self.automaton.merged(bits, 0, np.bitwise_or).tolist()
         ends: dict[int, list[tuple[int, str]]] = {}
         for tokens, label in of_phrase:
             state = matched = 0
@@ -104,7 +109,7 @@ class TemplateIndex:
         matches: list[tuple[int, int, int]] = []  # start, end, templates
         state = matched = 0
         at_before = -2
-        step, phrases, value = self.automaton.step, self.phrases, self.automaton.value
+        step, phrases, value = self.automaton.step, self.phrases, self.holders
         get = self.token.get
         for at, token in enumerate(map(get, words)):
             if token is None:

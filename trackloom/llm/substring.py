@@ -12,13 +12,14 @@ Windows of anchors that very many document groups share are routed one by one, b
 that no shard grows with a frequent phrase.
 
 Words are runs of [^\\x20\\x09-\\x0D]. A null text has no words. Rows with null ids are left whole and
-aren't referred to. Rows with equal ids don't remove words from each other. Words and anchors are
-compared by 64-bit hashes to find passages; the automata compare the words themselves."""
+aren't referred to. Rows with equal ids don't remove words from each other. Words, anchors and
+passages are compared by 64-bit hashes to find passages; the automata compare the words themselves.
+A window is at most 62 words longer than RUN."""
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
+from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,54 @@ RANGE_ANCHORS = 2_000_000
 #: Document groups that share an anchor, beyond which its windows are routed one by one.
 HOT_GROUPS = 64
 _STEP = 1 << 18
+_SCALE = np.uint64(0xA24BAED4963EE407)
+_DESCALE = np.uint64(pow(int(_SCALE), -1, 1 << 64))
+
+
+def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor place: the anchors, the first windows and the ends."""
+    n = len(words) - window + 1
+    if n <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    grams = _text.gram_hashes(words, RUN)
+    width = window - RUN + 1
+    view = np.lib.stride_tricks.sliding_window_view(grams, width)
+    place = np.concatenate([view[k : k + _STEP].argmin(1) + np.arange(k, min(k + _STEP, n)) for k in range(0, n, _STEP)])
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    return grams[place[first]], first, np.append(first[1:], n)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values as differences, byte plane by byte plane."""
+    return np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(values), dtype=bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def _slices(table: pa.Table):
+    """Of a group's rows, slice by slice: ids, texts, word hashes, and each text's first word."""
+    for batch in table.combine_chunks().to_batches():
+        for part in _text.slices(batch):
+            texts = _text.as_bytes(part.column("text"))
+            hashes, first = _text.word_hashes(texts)
+            yield part.column("doc_id").to_pylist(), texts, hashes, first
+
+
+_ANCHORS = 2_000_000
+#: Document groups that share an anchor, beyond which its windows are routed one by one.
+HOT_GROUPS = 64
+_STEP = 1 << 18
+_SCALE = np.uint64(0xA24BAED4963EE407)
+_DESCALE = np.uint64(pow(int(_SCALE), -1, 1 << 64))
 
 
 def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,8 +130,8 @@ def _documents(table: pa.Table, with_null: bool = False):
 
 _ANCHORS = pa.schema([("part", pa.int32()), ("p", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
 _REPEATED = pa.schema([("p", pa.int32()), ("repeated", pa.binary()), ("hot", pa.binary())])
-_PASSAGES = pa.schema([("shard", pa.int32()), ("p", pa.int32()), ("words", pa.binary()), ("least", pa.int64()), ("several", pa.bool_())])
-_FOUND = pa.schema([("p", pa.int32()), ("passage", pa.binary()), ("least", pa.list_(pa.int64()))])
+_PASSAGES = pa.schema([("shard", pa.int32()), ("p", pa.int32()), ("key", pa.int64()), ("words", pa.binary()), ("least", pa.int64())])
+_FOUND = pa.schema([("p", pa.int32()), ("key", pa.int64()), ("mask", pa.int64())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
@@ -90,7 +139,12 @@ def group_anchors(window: int, n_ranges: int):
     """For a document group: its anchors by range, those of one document and those of several."""
 
     def run(table: pa.Table) -> pa.Table:
-        own = [np.unique(anchors(words, window)[0]) for _, _, words in _documents(table)]
+        own = [
+            np.unique(anchors(hashes[first[k] : first[k + 1]], window)[0])
+            for ids, _, hashes, first in _slices(table)
+            for k, doc_id in enumerate(ids)
+            if doc_id is not None
+        ]
         values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *own]), return_counts=True)
         part = (values >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)
         out: dict[str, list] = {c: [] for c in _ANCHORS.names}
@@ -147,102 +201,159 @@ def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.sort(np.concatenate([np.empty(0, np.uint64), *[unpack(b) for b in table.column(c).to_pylist() if b is not None]])) for c in ("repeated", "hot"))
 
 
-def passages(words: np.ndarray, window: int, repeated: np.ndarray, hot: np.ndarray) -> list[tuple[int, int, int]]:
-    """(first window, end, route) of the passages of a document that travel."""
-    found, first, end = anchors(words, window)
-    some = np.flatnonzero(_member(found, repeated))
-    if not len(some):
-        return []
-    single = _member(found[some], hot)
-    out = [(int(first[k]), int(end[k]), int(found[k])) for k in some[~single]]
-    for k in some[single]:
-        for at in range(first[k], end[k]):
-            route = _text.gram_hashes(words[at : at + window], window)
-            out.append((int(at), int(at) + 1, int(route[0])))
-    return out
+@dataclass
+class Passages:
+    """Passages of a slice: the text they are in, their first and last window's word (end exclusive), a
+    hash of their words and the hash that routes them."""
+
+    text: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+    key: np.ndarray
+    route: np.ndarray
+
+
+def passages(ids: list, hashes: np.ndarray, first: np.ndarray, window: int, repeated: np.ndarray, hot: np.ndarray) -> Passages:
+    """The passages of a slice's texts that travel; positions are words of the slice."""
+    parts: list[tuple] = []
+    for k, doc_id in enumerate(ids):
+        if doc_id is None or not len(repeated):
+            continue
+        found, a, b = anchors(hashes[first[k] : first[k + 1]], window)
+        some = _member(found, repeated)
+        if some.any():
+            found, a, b = found[some], a[some] + first[k], b[some] + first[k]
+            single = _member(found, hot)
+            if single.any():
+                size = np.where(single, b - a, 1)
+                at = np.repeat(a, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                single, found, b = np.repeat(single, size), np.repeat(found, size), np.repeat(b, size)
+                a, b = at, np.where(single, at + 1, b)
+            parts.append((np.full(len(a), k), a, b, found, single))
+    if not parts:
+        none = np.empty(0, np.int64)
+        return Passages(none, none, none, none.view(np.uint64), none.view(np.uint64))
+    text, a, b, found, single = (np.concatenate(x) for x in zip(*parts, strict=True))
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(hashes), _SCALE))), dtype=np.uint64)
+        down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(hashes), _DESCALE))), dtype=np.uint64)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * up[:-1], dtype=np.uint64)))
+        key = _text.mix((sums[b + window - 1] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+    return Passages(text, a, b, key, np.where(single, key, found))
+
+
+def least_by_key(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the smallest document of each key, and for each place its key's smallest document."""
+    order = np.lexsort((doc, key))
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1])) if len(key) else np.empty(0, bool)
+    least = np.empty(len(key), dtype=np.int64)
+    least[order] = doc[order][new][np.cumsum(new) - 1] if len(key) else least
+    return order[new], least
 
 
 def traveling_passages(window: int, n_shards: int):
-    """For a document group and its repeated anchors: its distinct passages by shard."""
+    """For a document group and its repeated anchors: its distinct passages by shard, each with the
+    smallest document that has it."""
 
     def run(documents: pa.Table, told: pa.Table) -> pa.Table:
         repeated, hot = _sets(told)
-        least: dict[tuple[int, bytes], list] = {}
-        if len(repeated):
-            for doc_id, text, hashes in _documents(documents):
-                found = passages(hashes, window, repeated, hot)
-                words = text.split() if found else []
-                for a, b, route in found:
-                    key = ((route >> 17) % n_shards, b" ".join(words[a : b + window - 1]))
-                    held = least.setdefault(key, [doc_id, False])
-                    if held[0] != doc_id:
-                        held[:] = [min(held[0], doc_id), True]
-        p = documents.column("p")[0].as_py() if len(documents) else 0
-        rows = {"shard": [s for s, _ in least], "p": [p] * len(least), "words": [w for _, w in least], "least": [x for x, _ in least.values()], "several": [y for _, y in least.values()]}
-        return pa.table(rows, schema=_PASSAGES)
+        out: dict[str, list] = {c: [] for c in _PASSAGES.names}
+        if len(repeated) and len(documents):
+            found = [(ids, texts, first, passages(ids, hashes, first, window, repeated, hot)) for ids, texts, hashes, first in _slices(documents)]
+            doc = np.concatenate([np.array([ids[k] for k in p.text], dtype=np.int64) for ids, _, _, p in found])
+            key, route = (np.concatenate([getattr(p, c) for _, _, _, p in found]) for c in ("key", "route"))
+            chosen = np.zeros(len(key), dtype=bool)
+            chosen[least_by_key(key, doc)[0]] = True
+            words_of: list[bytes] = []
+            at = 0
+            for _, texts, first, p in found:
+                mine = np.flatnonzero(chosen[at : at + len(p.key)])
+                at += len(p.key)
+                held, words = -1, []
+                for k, a, b in zip(p.text[mine].tolist(), p.first[mine].tolist(), p.end[mine].tolist(), strict=True):
+                    if k != held:
+                        held, words, base = k, texts[k].split(), int(first[k])
+                    words_of.append(b" ".join(words[a - base : b - base + window - 1]))
+            out["shard"] = ((route[chosen] >> np.uint64(17)) % np.uint64(n_shards)).astype(np.int32)
+            out["key"], out["words"], out["least"] = key[chosen].view(np.int64), words_of, doc[chosen]
+            out["p"] = np.full(len(words_of), documents.column("p")[0].as_py(), dtype=np.int32)
+        return pa.table(out, schema=_PASSAGES)
 
     return run
 
 
 def shard_matches(window: int):
-    """For a shard: the smallest document of each window of each passage, where it can remove a word."""
+    """For a shard: which windows of a passage also start in a smaller document than the group's own
+    smallest one with it, as bits from the first window; passages without any are left out. A
+    passage is its shard's text as well as its reference, so that the states that matching it leads
+    to are those of its prefixes."""
 
     def run(table: pa.Table) -> pa.Table:
         token: dict[bytes, int] = {}
-        rows: dict[bytes, list[tuple[int, int, bool]]] = defaultdict(list)
-        for p, words, least, several in zip(*(table.column(c).to_pylist() for c in ("p", "words", "least", "several")), strict=True):
-            rows[words].append((p, least, several))
-        coded = {w: [token.setdefault(x, len(token)) for x in w.split(b" ")] for w in rows}
-        automaton = SuffixAutomaton(((t, min(x for _, x, _ in rows[w])) for w, t in coded.items()), min)
-        link, length, value, step = automaton.link, automaton.length, automaton.value, automaton.step
-        out: dict[str, list] = {c: [] for c in _FOUND.names}
-        for words, tokens in coded.items():
-            state = matched = 0
-            least = []
-            for t in tokens:
-                state, matched = step(state, matched, t)
-                if matched >= window:
-                    at = state
-                    while length[link[at]] >= window:
-                        at = link[at]
-                    least.append(value[at])
-            key = hashlib.blake2b(words, digest_size=16).digest()
-            for p, own, several in rows[words]:
-                if several or min(least) < own:
-                    out["p"].append(p)
-                    out["passage"].append(key)
-                    out["least"].append(least)
-        return pa.table(out, schema=_FOUND)
+        words, place = np.unique(np.array(table.column("words").to_pylist(), dtype=object), return_inverse=True)
+        least = np.asarray(table.column("least"))
+        own = np.full(len(words), np.iinfo(np.int64).max)
+        np.minimum.at(own, place, least)
+        coded = [[token.setdefault(x, len(token)) for x in w.split(b" ")] for w in words]
+        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        automaton = SuffixAutomaton(coded)
+        smallest = automaton.merged(np.repeat(own, sizes), np.iinfo(np.int64).max, np.minimum)
+        states = np.array(automaton.states, dtype=np.int64)
+        by_word = smallest[automaton.suffix_states(window)[states]]  # of the window that ends at a word
+        starts = np.cumsum(sizes) - sizes
+        mask = np.zeros(len(table), dtype=np.int64)
+        for bit in range(int(sizes.max()) - window + 1):
+            has = sizes[place] >= bit + window
+            rows = np.flatnonzero(has)
+            mask[rows] |= (by_word[starts[place[rows]] + bit + window - 1] < least[rows]).astype(np.int64) << bit
+        some = np.flatnonzero(mask)
+        return pa.table({"p": table.column("p").take(some), "key": table.column("key").take(some), "mask": mask[some]}, schema=_FOUND)
 
     return run
 
 
 def keep_words(window: int):
-    """For a document group, its repeated anchors and what the shards found: the words that stay."""
+    """For a document group, its repeated anchors and what the shards found: the words that stay. In the
+    group's smallest document with a passage the found windows go; in others all of them, as they
+    also start in that document."""
 
     def run(documents: pa.Table, told: pa.Table) -> pa.Table:
         repeated, hot = _sets(told)
-        found = {k: v for k, v in zip(told.column("passage").to_pylist(), told.column("least").to_pylist(), strict=True) if k is not None}
+        rows = [(k, m) for k, m in zip(told.column("key").to_pylist(), told.column("mask").to_pylist(), strict=True) if k is not None]
+        keys = np.array([k for k, _ in rows], dtype=np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        keys, masks = keys[order], np.array([m for _, m in rows], dtype=np.int64)[order]
+        held = [(ids, texts, first, passages(ids, hashes, first, window, repeated, hot)) for ids, texts, hashes, first in _slices(documents)]
+        doc = [np.array([ids[k] for k in p.text], dtype=np.int64) for ids, _, _, p in held]
+        key = np.concatenate([p.key for _, _, _, p in held]) if held else keys
+        least = least_by_key(key, np.concatenate(doc) if doc else masks)[1]
+        at = 0
         out: dict[str, list] = {c: [] for c in _KEPT.names}
-        for doc_id, text, hashes in _documents(documents, with_null=True):
-            words = text.split()
-            edges = None
-            if found and doc_id is not None:
-                for a, b, _ in passages(hashes, window, repeated, hot):
-                    least = found.get(hashlib.blake2b(b" ".join(words[a : b + window - 1]), digest_size=16).digest())
-                    if least is not None:
-                        if edges is None:
-                            edges = np.zeros(len(words) + 1, dtype=np.int64)
-                        at = a + np.flatnonzero(np.array(least) < doc_id)
-                        np.add.at(edges, at, 1)
-                        np.add.at(edges, at + window, -1)
-            n = len(words)
-            if edges is not None:
-                words = [words[k] for k in np.flatnonzero(np.cumsum(edges[:-1]) == 0)]
-            out["doc_id"].append(doc_id)
-            out["n_words"].append(n)
-            out["n_removed"].append(n - len(words))
-            out["kept"].append(b" ".join(words).decode("utf-8", "replace"))
+        for (ids, texts, first, p), own in zip(held, doc, strict=True):
+            size = p.end - p.first
+            mask = (np.int64(1) << size) - 1
+            smallest = own == least[at : at + len(own)]
+            at += len(own)
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, p.key), len(keys) - 1)
+                mask[smallest] = np.where(keys[place] == p.key, masks[place], 0)[smallest]
+            else:
+                mask[smallest] = 0
+            edges = np.zeros(int(first[-1]) + 1, dtype=np.int64)
+            for bit in range(int(size.max()) if len(size) else 0):
+                start = p.first[mask >> bit & 1 == 1] + bit
+                np.add.at(edges, start, 1)
+                np.add.at(edges, start + window, -1)
+            stays = np.cumsum(edges) == 0
+            for k, (doc_id, text) in enumerate(zip(ids, texts, strict=True)):
+                words = text.split()
+                n, own_words = len(words), stays[first[k] : first[k + 1]]
+                if not own_words.all():
+                    words = list(compress(words, own_words.tolist()))
+                out["doc_id"].append(doc_id)
+                out["n_words"].append(n)
+                out["n_removed"].append(n - len(words))
+                out["kept"].append(b" ".join(words).decode("utf-8", "replace"))
         return pa.table(out, schema=_KEPT)
 
     return run
@@ -265,10 +376,10 @@ def drop_repeated_substrings(documents: DataFrame, window: int = 13, id_col: str
     by_range = grouped.groupBy("p").applyInArrow(group_anchors(window, n_ranges), "part int, p int, once binary, more binary")
     repeated = by_range.groupBy("part").applyInArrow(repeated_anchors, "p int, repeated binary, hot binary")
     repeated = _text.written(repeated)
-    schema = "shard int, p int, words binary, least long, several boolean"
+    schema = "shard int, p int, key long, words binary, least long"
     traveling = grouped.groupBy("p").cogroup(repeated.repartition(n_parts, "p").groupBy("p")).applyInArrow(traveling_passages(window, n_shards), schema)
-    found = traveling.groupBy("shard").applyInArrow(shard_matches(window), "p int, passage binary, least array<long>")
-    told = repeated.withColumns({"passage": F.lit(None).cast("binary"), "least": F.lit(None).cast("array<bigint>")}).unionByName(
+    found = traveling.groupBy("shard").applyInArrow(shard_matches(window), "p int, key long, mask long")
+    told = repeated.withColumns({"key": F.lit(None).cast("long"), "mask": F.lit(None).cast("long")}).unionByName(
         found.withColumns({"repeated": F.lit(None).cast("binary"), "hot": F.lit(None).cast("binary")})
     )
     kept = grouped.groupBy("p").cogroup(told.repartition(n_parts, "p").groupBy("p")).applyInArrow(keep_words(window), "doc_id long, n_words long, n_removed long, kept string")
