@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry, names
+from trackloom.operators import evaluation
 from trackloom.operators import tracklets as T
+from trackloom.operators import trajectories as R
 from trackloom.plans.registry import query
-from trackloom.plans.views import DETECTIONS, STATS, detections, features, table
+from trackloom.plans.views import CHOPPED, CHOPPED_STATS, DETECTIONS, STATS, chopped, detections, features, table
 from trackloom.sinks import tracking as sinks
 from trackloom.sources import tracking as sources
 from trackloom.streaming import sessions, trackers
@@ -317,3 +319,126 @@ def str03(spark, sf):
 def str08(spark, sf):
     log = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("merge").alias("action"), F.col("o_custkey").alias("source_gid"), F.col("o_orderkey").alias("target_gid")).where("o_orderkey % 3 <> 0")
     return sessions.active_corrections(log).groupBy("source_gid").agg(F.max_by("target_gid", "id").alias("target_gid"))
+
+
+@query("win09_smoothed")
+def win09(spark, sf):
+    return R.smoothed(detections(spark, sf), 5, 2).select("event_id", "x", "y", "w", "h")
+
+
+@query("jn19_motion_links", f"WITH {CHOPPED}" + """, a AS (SELECT *, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY frame_id, event_id) AS a, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY frame_id DESC, event_id DESC) AS b, frame_id * 1000000000 + event_id AS o FROM det),
+ t AS (SELECT camera_id, track_id, min(frame_id) AS s, max(frame_id) AS e, arg_min(x + w / 2, o) AS sx, arg_min(y + h / 2, o) AS sy, arg_max(x + w / 2, o) AS ex, arg_max(y + h / 2, o) AS ey,
+  (max_by(x + w / 2, o) FILTER (a <= 3) - min_by(x + w / 2, o) FILTER (a <= 3)) / nullif(max(frame_id) FILTER (a <= 3) - min(frame_id) FILTER (a <= 3), 0) AS svx, (max_by(y + h / 2, o) FILTER (a <= 3) - min_by(y + h / 2, o) FILTER (a <= 3)) / nullif(max(frame_id) FILTER (a <= 3) - min(frame_id) FILTER (a <= 3), 0) AS svy,
+  (max_by(x + w / 2, o) FILTER (b <= 3) - min_by(x + w / 2, o) FILTER (b <= 3)) / nullif(max(frame_id) FILTER (b <= 3) - min(frame_id) FILTER (b <= 3), 0) AS evx, (max_by(y + h / 2, o) FILTER (b <= 3) - min_by(y + h / 2, o) FILTER (b <= 3)) / nullif(max(frame_id) FILTER (b <= 3) - min(frame_id) FILTER (b <= 3), 0) AS evy FROM a GROUP BY ALL),
+ p AS (SELECT camera_id || '/' || track_id AS id, * FROM t),
+ q AS (SELECT a.id AS source, b.id AS target, b.s - a.e AS gap, sqrt((b.sx - a.ex) ** 2 + (b.sy - a.ey) ** 2) AS d, sqrt(a.evx ** 2 + a.evy ** 2) AS va, sqrt(b.svx ** 2 + b.svy ** 2) AS vb, a.evx * b.svx + a.evy * b.svy AS dp FROM p a JOIN p b ON a.camera_id <> b.camera_id AND a.track_id % 3 = b.track_id % 3 AND b.s - a.e BETWEEN 0 AND 12),
+ r AS (SELECT *, dp / (va * vb) AS c, least(va, vb) / greatest(va, vb) AS ratio FROM q WHERE d <= 200 AND va > 1e-6 AND vb > 1e-6)
+ SELECT source, target, round(c + ratio - gap / 12.0::DOUBLE - d / 200, 5) AS score FROM r WHERE c >= 0.5 AND ratio >= 0.2 QUALIFY row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY c + ratio - gap / 12.0::DOUBLE - d / 200 DESC, source) = 1""")
+def jn19(spark, sf):
+    rows = chopped(spark, sf).withColumn("class_id", F.col("track_id") % 3)
+    own = rows.withColumn("track_id", F.concat("camera_id", F.lit("/"), "track_id"))
+    return R.motion_links(own, 12, 200.0, 0.5, 0.2).withColumn("score", F.round("score", 5))
+
+
+@query("fil17_query_cameras", S + ", t AS (SELECT track_id AS global_id, count(*) AS num_tracklets, list(camera_id) AS c FROM stats WHERE num_frames >= 14 GROUP BY track_id) SELECT global_id, num_tracklets FROM t WHERE list_contains(c, 'c001') AND len(list_filter(c, lambda y: y <> 'c001')) > 0")
+def fil17(spark, sf):
+    stats = T.tracklet_stats(detections(spark, sf)).where("num_frames >= 14")
+    whole = R.assembled(stats, stats.select("camera_id", "track_id", F.col("track_id").alias("global_id")))
+    return R.query_camera_trajectories(whole, ["c001"]).select("global_id", "num_tracklets")
+
+
+@query("gra14_assembled", S + "SELECT track_id AS global_id, count(*) AS num_tracklets, count(DISTINCT camera_id) AS num_cameras, string_agg(camera_id || '@' || start_frame, ' ' ORDER BY start_frame, end_frame, camera_id) AS timeline FROM stats GROUP BY track_id")
+def gra14(spark, sf):
+    stats = T.tracklet_stats(detections(spark, sf))
+    whole = R.assembled(stats, stats.select("camera_id", "track_id", F.col("track_id").alias("global_id")))
+    text = F.array_join(F.transform("timeline", lambda t: F.concat(t["camera_id"], F.lit("@"), t["start_frame"])), " ")
+    return whole.withColumn("timeline", text)
+
+
+@query("gra15_merged_fragments")
+def gra15(spark, sf):
+    return R.merged_fragments(chopped(spark, sf), 24, 150.0)
+
+
+@query("nms02_merged_points")
+def nms02(spark, sf):
+    rows = detections(spark, sf).select("frame_id", "track_id", "x", "y")
+    return R.merged_ground_points(rows, 60.0).select("frame_id", "track_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("evl01_clear_scores")
+def evl01(spark, sf):
+    rows = detections(spark, sf).select("event_id", "camera_id", "frame_id", "track_id", "x", "y", "w", "h")
+    truth = rows.where("event_id % 3 <> 0").withColumns({"track_id": F.col("track_id") + 1000, "x": F.col("x") + 3, "y": F.col("y") + 2})
+    mine = rows.where("event_id % 2 = 0")
+    found = R.clear_scores(evaluation.box_matches(mine, truth, 0.3), mine, truth)
+    return found.withColumn("mota", F.round("mota", 6))
+
+
+@query("jn01_tracklet_attributes", S + ", f AS (SELECT DISTINCT user_id AS track_id, 'c00' || (user_id % 6) AS camera_id FROM events) SELECT f.camera_id, f.track_id, coalesce(num_frames, 0) AS num_frames, coalesce(start_frame, 0) AS start_frame FROM f LEFT JOIN stats USING (camera_id, track_id)")
+def jn01(spark, sf):
+    stats = T.tracklet_stats(detections(spark, sf))
+    wanted = table(spark, sf, "events").select(F.concat(F.lit("c00"), F.col("user_id") % 6).alias("camera_id"), F.col("user_id").alias("track_id")).distinct()
+    joined = wanted.join(stats, ["camera_id", "track_id"], "left")
+    return joined.select("camera_id", "track_id", F.coalesce("num_frames", F.lit(0)).alias("num_frames"), F.coalesce("start_frame", F.lit(0)).alias("start_frame"))
+
+
+@query("jn08_same_camera_pairs", f"WITH {CHOPPED_STATS} " + "SELECT a.camera_id, a.track_id AS a, b.track_id AS b, b.start_frame - a.end_frame AS gap FROM stats a JOIN stats b ON a.camera_id = b.camera_id AND b.start_frame > a.end_frame AND b.start_frame - a.end_frame <= 24")
+def jn08(spark, sf):
+    # A range join by buckets of the largest gap: only neighbouring buckets meet.
+    stats = T.tracklet_stats(chopped(spark, sf))
+    a = stats.select("camera_id", F.col("track_id").alias("a"), "end_frame", F.explode(F.array(*[F.floor(F.col("end_frame") / 24) + k for k in (0, 1)])).alias("bucket"))
+    b = stats.select("camera_id", F.col("track_id").alias("b"), "start_frame", F.floor(F.col("start_frame") / 24).alias("bucket"))
+    gap = F.col("start_frame") - F.col("end_frame")
+    return a.join(b, ["camera_id", "bucket"]).where((gap > 0) & (gap <= 24)).select("camera_id", "a", "b", gap.alias("gap"))
+
+
+@query("jn15_first_seen", D + "SELECT track_id, camera_id, event_id FROM det QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY frame_id, event_id) = 1")
+def jn15(spark, sf):
+    first = F.struct("frame_id", "event_id")
+    return detections(spark, sf).groupBy("track_id").agg(F.min_by("camera_id", first).alias("camera_id"), F.min_by("event_id", first).alias("event_id"))
+
+
+@query("jn23_latest_run", "SELECT o_custkey AS dataset, max(o_orderkey) AS run FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey")
+def jn23(spark, sf):
+    return table(spark, sf, "orders").where("o_orderstatus <> 'F'").groupBy(F.col("o_custkey").alias("dataset")).agg(F.max("o_orderkey").alias("run"))
+
+
+@query("msc02_sensitivity", "SELECT l_linenumber AS setting, round(avg(l_quantity), 4) AS mean, max(l_quantity)::DOUBLE AS top, arg_max(l_orderkey, l_extendedprice * 1000 + l_linenumber) AS best_run FROM lineitem GROUP BY l_linenumber")
+def msc02(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    return rows.groupBy(F.col("l_linenumber").alias("setting")).agg(
+        F.round(F.avg("l_quantity"), 4).alias("mean"), F.max("l_quantity").cast("double").alias("top"), F.max_by("l_orderkey", F.col("l_extendedprice") * 1000 + F.col("l_linenumber")).alias("best_run")
+    )
+
+
+@query("agg26_overview", D + "SELECT camera_id, count(DISTINCT track_id) AS tracklets, count(*) FILTER (class_id = 0) AS persons, count(*) FILTER (class_id <> 0) AS vehicles FROM det GROUP BY camera_id")
+def agg26(spark, sf):
+    return detections(spark, sf).groupBy("camera_id").agg(F.count_distinct("track_id").alias("tracklets"), F.count_if(F.col("class_id") == 0).alias("persons"), F.count_if(F.col("class_id") != 0).alias("vehicles"))
+
+
+@query("fil18_browser_page", S + ", t AS (SELECT track_id AS global_id, count(DISTINCT camera_id) AS cameras FROM stats GROUP BY track_id HAVING count(DISTINCT camera_id) >= 2) SELECT * FROM t ORDER BY global_id LIMIT 20 OFFSET 10")
+def fil18(spark, sf):
+    t = T.tracklet_stats(detections(spark, sf)).groupBy(F.col("track_id").alias("global_id")).agg(F.count_distinct("camera_id").alias("cameras")).where("cameras >= 2")
+    return t.orderBy("global_id").offset(10).limit(20)
+
+
+@query("top09_longest", S + "SELECT camera_id, track_id, end_frame - start_frame AS duration FROM stats ORDER BY duration DESC, camera_id, track_id LIMIT 25")
+def top09(spark, sf):
+    stats = T.tracklet_stats(detections(spark, sf)).withColumn("duration", F.col("end_frame") - F.col("start_frame"))
+    return stats.select("camera_id", "track_id", "duration").orderBy(F.desc("duration"), "camera_id", "track_id").limit(25)
+
+
+@query("agg21_ground_average", D + "SELECT track_id, frame_id, round(avg(x * 2.5 - 300), 6) AS x_cm, round(avg(y * 2.5 - 900), 6) AS y_cm, count(*) AS views FROM det WHERE x BETWEEN 20 AND 380 GROUP BY ALL")
+def agg21(spark, sf):
+    inside = detections(spark, sf).where(F.col("x").between(20, 380))
+    return inside.groupBy("track_id", "frame_id").agg(F.round(F.avg(F.col("x") * 2.5 - 300), 6).alias("x_cm"), F.round(F.avg(F.col("y") * 2.5 - 900), 6).alias("y_cm"), F.count("*").alias("views"))
+
+
+@query("jn11_ground_distance", D + ", p AS (SELECT * FROM det WHERE event_id % 2 = 0), g AS (SELECT * FROM det WHERE event_id % 2 = 1) SELECT p.event_id AS a, g.event_id AS b, round(sqrt((p.x - g.x) ** 2 + (p.y - g.y) ** 2), 6) AS d FROM p JOIN g USING (frame_id) WHERE sqrt((p.x - g.x) ** 2 + (p.y - g.y) ** 2) <= 60")
+def jn11(spark, sf):
+    rows = detections(spark, sf)
+    p = rows.where("event_id % 2 = 0").select("frame_id", F.col("event_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    g = rows.where("event_id % 2 = 1").select("frame_id", F.col("event_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
+    return p.join(g, "frame_id").withColumn("d", d).where("d <= 60").select("a", "b", F.round("d", 6).alias("d"))

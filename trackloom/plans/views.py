@@ -15,8 +15,13 @@ DETECTIONS = """det AS (SELECT event_id, 'c00' || (event_id % 4) AS camera_id, u
  (event_id % 400)::DOUBLE AS x, ((event_id * 7) % 300)::DOUBLE AS y, (40 + event_id % 60)::DOUBLE AS w,
  (30 + event_id % 50)::DOUBLE AS h FROM events)"""
 
-STATS = DETECTIONS + """, stats AS (SELECT camera_id, track_id, min(frame_id) AS start_frame, max(frame_id) AS end_frame,
+#: Detections whose tracks are cut at midnight, so that tracklets follow each other in time.
+CHOPPED = DETECTIONS.replace("user_id AS track_id", "user_id * 1000 + (epoch_us(ts) // 86400000000) % 1000 AS track_id")
+
+_STATS = """, stats AS (SELECT camera_id, track_id, min(frame_id) AS start_frame, max(frame_id) AS end_frame,
  count(*) AS num_frames, avg(confidence) AS mean_confidence FROM det GROUP BY ALL)"""
+CHOPPED_STATS = CHOPPED + _STATS
+STATS = DETECTIONS + _STATS
 
 #: Pairs of one class and scene from two cameras, with 0.25 as threshold.
 PAIRS = FEATURES + """, pairs AS (SELECT a.index_id AS i, b.index_id AS j, list_inner_product(a.v, b.v) AS sim,
@@ -67,3 +72,8 @@ def timed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         return {f"start_{k}": (F.col(c) % 24).cast("double"), f"end_{k}": (F.col(c) % 24 + 1 + F.col(c) % 5).cast("double"), f"frames_{k}": 5 + F.col(c) % 30}
 
     return edges(spark, sf_dir).withColumns(span("i", "i") | span("j", "j") | {"hsv_sim": (F.col("i") % 10) / F.lit(10.0)})
+
+
+def chopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections whose tracks are cut at midnight."""
+    return detections(spark, sf_dir).withColumn("track_id", F.col("track_id") * 1000 + F.expr("frame_id div 24") % 1000)
