@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import geometry, names
 from trackloom.functions import vectors as V
-from trackloom.operators import evaluation, graphs, scoring, search, simjoin
+from trackloom.operators import evaluation, graphs, scoring, search, simjoin, trajectories
 from trackloom.operators import tracklets as T
 from trackloom.operators import vectors as P
 from trackloom.operators.components import components
@@ -335,3 +335,70 @@ def test_partitions_don_t_change_results(spark, partitions):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(got) == len({r[:2] for r in got}) > 500
+
+
+def test_reranking(spark):
+    m, rows = features(spark, 50, 6, 2)
+    k1, k2, weight = 8, 3, 0.3
+    d = 2 - 2 * m @ m.T
+    np.fill_diagonal(d, 0)
+    order = np.argsort(d + 1e-12 * np.arange(50)[None, :] - 10 * np.eye(50), axis=1, kind="stable")
+    near = lambda i, k: set(order[i, : k + 1])
+    mutual = lambda i, k: {j for j in near(i, k) if i in near(j, k)}
+    v = np.zeros((50, 50))
+    for i in range(50):
+        wide = mutual(i, k1)
+        whole = set(wide)
+        for c in wide:
+            tight = mutual(c, round(k1 / 2))
+            if len(tight & wide) > 2 / 3 * len(tight):
+                whole |= tight
+        whole = sorted(whole)
+        v[i, whole] = np.exp(-d[i, whole]) / np.exp(-d[i, whole]).sum()
+    v = np.stack([v[order[i, :k2]].mean(0) for i in range(50)])
+    pairs = [(i, j) for i in range(5) for j in range(50) if i != j]
+    got = {(r.i, r.j): r.distance for r in simjoin.reranked(rows, spark.createDataFrame(pairs, "i long, j long"), k1, k2, weight).collect()}
+    for i, j in pairs:
+        least = np.minimum(v[i], v[j]).sum()
+        assert got[i, j] == pytest.approx(weight * d[i, j] + (1 - weight) * (1 - least / (2 - least)))
+
+
+def test_temporal_split(spark):
+    rows = [(0, 1, 0.0, 5.0, [1.0, 0.0]), (1, 1, 3.0, 8.0, [1.0, 0.0]), (2, 1, 50.0, 55.0, [0.0, 1.0]), (3, 1, 200.0, 210.0, [-1.0, 0.0]), (4, 2, 0.0, 1.0, [1.0, 0.0]), (5, 2, 90.0, 91.0, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "index_id long, cluster long, start double, end double, v array<double>")
+    parts = {}
+    for r in trajectories.temporal_split(frame, 20.0, 0.5).collect():
+        parts.setdefault(r.cluster, set()).add(r.index_id)
+    assert sorted(map(sorted, parts.values())) == [[0, 1], [2], [3], [4, 5]]
+
+
+def test_smoothing(spark):
+    rows = boxes(spark, [(1, k, (10.0 * k + (3 if k % 2 else -3), 5.0, 10.0, 10.0), 1.0) for k in range(12)] + [(2, k, (7.0, 5.0, 10.0, 10.0), 1.0) for k in range(3)])
+    got = {(r.track_id, r.frame_id): r.x for r in trajectories.smoothed(rows, 5, 2).collect()}
+    x = np.array([10.0 * k + (3 if k % 2 else -3) + 5 for k in range(12)])
+    w = trajectories.smoothing_weights(5, 2)
+    for k in range(12):
+        start = max(0, min(k - 2, 7))
+        assert got[1, k] == pytest.approx(round(float(w[k - start] @ x[start : start + 5]) - 5, 1), abs=0.11)
+    assert len(got) == 15 and got[2, 1] == 7.0
+
+
+def test_merged_points(spark):
+    rows = [(0, 1, 0.0, 0.0), (0, 1, 8.0, 0.0), (0, 2, 15.0, 0.0), (0, 3, 100.0, 0.0), (1, 4, 1.0, 1.0)]
+    got = sorted((r.frame_id, r.track_id, round(r.x, 3)) for r in trajectories.merged_ground_points(spark.createDataFrame(rows, "frame_id long, track_id long, x double, y double"), 10.0).collect())
+    assert got == [(0, 1, 7.667), (0, 3, 100.0), (1, 4, 1.0)]
+
+
+def test_clear_scores(spark):
+    truth = boxes(spark, [(t, f, (50.0 * t, 0.0, 10.0, 10.0), 1.0) for t in range(2) for f in range(10)])
+    swapped = boxes(spark, [(t if f < 6 else 1 - t, f, (50.0 * t, 0.0, 10.0, 10.0), 1.0) for t in range(2) for f in range(10)])
+    (row,) = trajectories.clear_scores(evaluation.box_matches(swapped, truth, 0.5), swapped, truth).collect()
+    assert (row.misses, row.false_positives, row.switches) == (0, 0, 2) and row.mota == pytest.approx(0.9)
+
+
+def test_pair_auc(spark):
+    rng = random.Random(8)
+    pairs = [(round(rng.random(), 2), rng.random() < 0.3) for _ in range(400)]
+    (row,) = evaluation.pair_auc(spark.createDataFrame(pairs, "score double, same boolean")).collect()
+    p, n = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    assert row.auc == pytest.approx(sum((a > b) + 0.5 * (a == b) for a in p for b in n) / (len(p) * len(n)))

@@ -165,3 +165,20 @@ def spearman(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
         return F.rank().over(Window.partitionBy(key).orderBy(c)) + (F.count("*").over(Window.partitionBy(key, c)) - 1) / 2
 
     return pairs.withColumns({"rx": rank(x), "ry": rank(y)}).groupBy(key).agg(F.corr("rx", "ry").alias("rho"))
+
+
+def pair_auc(pairs: DataFrame) -> DataFrame:
+    """One row: area under the curve of (score, same), ties counted half. Equal scores are counted
+    first; ranks are counts of lower scores, summed by ranges of scores at quantiles, so that no task
+    sorts all rows."""
+    counts = pairs.groupBy("score").agg(F.count_if("same").alias("p"), F.count_if(~F.col("same")).alias("n"))
+    part = F.lit(0)
+    for bound in sorted(set(counts.approxQuantile("score", [k / 64 for k in range(1, 64)], 0.005))):
+        part = part + (F.col("score") >= bound).cast("int")
+    dealt = counts.withColumn("part", part)
+    sums = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # 64 rows at most
+    below = F.coalesce(*[F.when(F.col("part") == k, F.lit(sum(v for q, v in sums.items() if q < k))) for k in sums], F.lit(0))
+    w = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    won = F.col("p") * (below + F.coalesce(F.sum("n").over(w), F.lit(0)) + F.col("n") / 2)
+    out = dealt.withColumn("won", won).agg(F.sum("won").alias("won"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    return out.select(F.try_divide("won", F.col("positives") * F.col("negatives")).alias("auc"), "positives", "negatives")

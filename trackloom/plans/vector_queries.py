@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import vectors as V
 from trackloom.functions.geometry import iou_xywh
-from trackloom.operators import evaluation, graphs, scoring, search, simjoin
+from trackloom.operators import evaluation, graphs, scoring, search, simjoin, trajectories
 from trackloom.operators import vectors as P
 from trackloom.operators.components import components
 from trackloom.plans.registry import query
@@ -465,3 +465,64 @@ def gra17(spark, sf):
     sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return rows.withColumn("r", F.row_number().over(w.orderBy("node")) - 1).join(F.broadcast(before), "part").select("node", (F.col("before") + F.col("r")).alias("global_id"))
+
+
+@query("vec19_reranked")
+def vec19(spark, sf):
+    rows = features(spark, sf)
+    pairs = search.top_matches(_probes(spark, sf), rows, 30, exclude_self=True).select(F.col("probe_id").alias("i"), F.col("index_id").alias("j"))
+    return _round(simjoin.reranked(rows, pairs, 20, 6, 0.3), "distance")
+
+
+@query("agg36_rank1_agreement", PROBES + ", a AS (SELECT probe_id, index_id AS one FROM c WHERE probe_id <> index_id QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY sim DESC, index_id) = 1), h AS (SELECT p.probe_id, f.index_id, list_inner_product(p.v[1:32], f.v[1:32]) AS sim FROM p, feat f WHERE p.probe_id <> f.index_id), b AS (SELECT probe_id, index_id AS two FROM h QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY sim DESC, index_id) = 1) SELECT count(*) AS n, count(*) FILTER (one = two) AS agree FROM a JOIN b USING (probe_id)")
+def agg36(spark, sf):
+    rows = features(spark, sf)
+    short = rows.withColumn("v", F.slice("v", 1, 32))
+    a = search.top_matches(_probes(spark, sf), rows, 1, exclude_self=True).select("probe_id", F.col("index_id").alias("one"))
+    b = search.top_matches(short.where("index_id % 50 = 0"), short, 1, exclude_self=True).select("probe_id", F.col("index_id").alias("two"))
+    return a.join(b, "probe_id").agg(F.count("*").alias("n"), F.count_if(F.col("one") == F.col("two")).alias("agree"))
+
+
+@query("agg33_pair_auc", PR + ", r AS (SELECT pid_i % 5 = pid_j % 5 AS same, rank() OVER (ORDER BY round(sim, 6)) + (count(*) OVER (PARTITION BY round(sim, 6)) - 1) / 2.0::DOUBLE AS r FROM edges), s AS (SELECT sum(r) FILTER (same) AS r, count(*) FILTER (same) AS p, count(*) FILTER (NOT same) AS n FROM r) SELECT round((r - p * (p + 1) / 2.0::DOUBLE) / (p * n), 6) AS auc, p AS positives, n AS negatives FROM s")
+def agg33(spark, sf):
+    rows = edges(spark, sf).select(F.round("sim", 6).alias("score"), (F.col("pid_i") % 5 == F.col("pid_j") % 5).alias("same"))
+    return _round(evaluation.pair_auc(rows), "auc")
+
+
+@query("win13_camera_map", PROBES + ", r AS (SELECT c.probe_id, c.sim, c.index_id, f.class_id = c.index_id % 3 AS hit, f.camera_id = c.camera_id AS own FROM c JOIN feat f ON f.index_id = c.probe_id WHERE c.index_id <> c.probe_id), k AS (SELECT *, row_number() OVER w AS place, sum(hit::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hits FROM r WINDOW w AS (PARTITION BY own, probe_id ORDER BY sim DESC, index_id)), a AS (SELECT own, probe_id, avg(hits / place::DOUBLE) AS ap FROM k WHERE hit GROUP BY ALL) SELECT own AS same_camera, round(avg(ap), 6) AS map, count(*) AS n_queries FROM a GROUP BY own")
+def win13(spark, sf):
+    rows = features(spark, sf)
+    found = search.top_matches(_probes(spark, sf), rows, 1_000_000, exclude_self=True)
+    a = rows.select(F.col("index_id").alias("probe_id"), F.col("camera_id").alias("own"), F.col("class_id").alias("own_class"))
+    joined = found.join(a, "probe_id").join(rows.select("index_id", "camera_id", "class_id"), "index_id")
+    ranked = joined.select(
+        F.struct((F.col("own") == F.col("camera_id")).alias("same"), "probe_id").alias("query_id"), F.col("index_id").alias("gallery_id"), F.col("sim").alias("score"),
+        (F.col("own_class") == F.col("class_id")).alias("is_match"),
+    )
+    per_query = evaluation.average_precision(ranked)
+    return per_query.groupBy(F.col("query_id.same").alias("same_camera")).agg(F.round(F.avg("ap"), 6).alias("map"), F.count("*").alias("n_queries"))
+
+
+@query("msc04_query_gallery_split", FT + ", m AS (SELECT pid, count(DISTINCT camera_id) AS n FROM feat GROUP BY pid), q AS (SELECT f.index_id FROM feat f JOIN m USING (pid) WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY f.pid, f.camera_id ORDER BY (f.index_id * 7919) % 1009, f.index_id) = 1) SELECT f.index_id, CASE WHEN q.index_id IS NOT NULL THEN 'query' WHEN n >= 2 THEN 'gallery' ELSE 'distractor' END AS part FROM feat f JOIN m USING (pid) LEFT JOIN q ON q.index_id = f.index_id")
+def msc04(spark, sf):
+    rows = features(spark, sf)
+    n = rows.groupBy("pid").agg(F.count_distinct("camera_id").alias("n"))
+    w = Window.partitionBy("pid", "camera_id").orderBy((F.col("index_id") * 7919) % 1009, "index_id")
+    placed = rows.join(n, "pid").withColumn("r", F.row_number().over(w))
+    part = F.when(F.col("n") < 2, "distractor").when(F.col("r") == 1, "query").otherwise("gallery")
+    return placed.select("index_id", part.alias("part"))
+
+
+@query("agg20_topology_prior", FT + ", c AS (SELECT DISTINCT camera_id FROM feat) SELECT a.camera_id AS cam_a, b.camera_id AS cam_b, CASE WHEN left(a.camera_id, 3) = left(b.camera_id, 3) THEN 0.05 ELSE -0.2 END::DOUBLE AS bias FROM c a, c b WHERE a.camera_id <> b.camera_id")
+def agg20(spark, sf):
+    # Camera names are few; each is paired with the list of all names.
+    cams = features(spark, sf).select("camera_id").distinct()
+    names = cams.agg(F.collect_set("camera_id").alias("all")).withColumn("k", F.lit(1))
+    pairs = cams.withColumn("k", F.lit(1)).join(F.broadcast(names), "k").select(F.col("camera_id").alias("cam_a"), F.explode("all").alias("cam_b")).where("cam_a <> cam_b")
+    return pairs.withColumn("bias", F.when(F.substring("cam_a", 1, 3) == F.substring("cam_b", 1, 3), 0.05).otherwise(-0.2))
+
+
+@query("win05_temporal_split")
+def win05(spark, sf):
+    rows = features(spark, sf).select("index_id", F.col("pid").alias("cluster"), (F.col("index_id") % 400).cast("double").alias("start"), (F.col("index_id") % 400 + 5).cast("double").alias("end"), "v")
+    return trajectories.temporal_split(rows, 40.0, 0.2)
