@@ -142,15 +142,16 @@ class ToxicityModel:
 
     def evidence(self, text: str, memo: dict[str, float]) -> float:
         """The sum of the weights of a text's distinct words, each by its best feature."""
-        total = 0.0
+        found = []
         for word in words_of(text):
             w = memo.get(word)
             if w is None:
                 w = self.weight(word)
                 if len(word) <= 64:
                     memo[word] = w
-            total += w
-        return total
+            if w:
+                found.append(w)
+        return math.fsum(found)  # whatever the order of the words
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * evidence + self.offset))))
