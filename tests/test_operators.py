@@ -402,3 +402,32 @@ def test_pair_auc(spark):
     (row,) = evaluation.pair_auc(spark.createDataFrame(pairs, "score double, same boolean")).collect()
     p, n = [s for s, y in pairs if y], [s for s, y in pairs if not y]
     assert row.auc == pytest.approx(sum((a > b) + 0.5 * (a == b) for a in p for b in n) / (len(p) * len(n)))
+
+
+def test_expanded_clusters(spark):
+    rows = [(0, 0, "a", 0.0, 1.0), (1, 0, "b", 0.0, 1.0), (2, 2, "c", 0.0, 1.0), (3, 3, "a", 0.0, 1.0), (4, 4, "d", 0.0, 1.0), (5, 5, "e", 0.0, 1.0), (6, 6, "f", 0.0, 1.0)]
+    members = spark.createDataFrame(rows, "node long, cluster long, camera_id string, start double, end double")
+    e = edges(spark, [(1, 2, 0.9), (1, 3, 0.8), (4, 5, 0.7), (0, 6, 0.1)])
+    assert clusters(graphs.expanded_clusters(members, e, 0.5)) == [[0, 1, 2], [3], [4, 5], [6]]
+
+
+def test_linked_trajectories(spark):
+    links = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (3, 4, 0.7)], "source long, target long, score double")
+    cameras = spark.createDataFrame([(1, ["a"]), (2, ["b"]), (3, ["a"]), (4, ["c"]), (5, ["d"])], "node long, cameras array<string>")
+    assert clusters(graphs.linked_trajectories(links, cameras)) == [[1, 2], [3, 4], [5]]
+
+
+def test_hota(spark):
+    truth = boxes(spark, [(t, f, (50.0 * t, 0.0, 10.0, 10.0), 1.0) for t in range(2) for f in range(10)])
+    (row,) = trajectories.hota_scores(evaluation.box_matches(truth, truth, 1e-6), truth, truth).collect()
+    assert (row.hota, row.det_a, row.ass_a) == pytest.approx((1.0, 1.0, 1.0))
+    halves = boxes(spark, [(t + 2 * (f >= 5), f, (50.0 * t, 0.0, 10.0, 10.0), 1.0) for t in range(2) for f in range(10)])
+    (row,) = trajectories.hota_scores(evaluation.box_matches(halves, truth, 1e-6), halves, truth).collect()
+    assert (row.det_a, row.ass_a) == pytest.approx((1.0, 0.5)) and row.hota == pytest.approx(0.5**0.5)
+
+
+def test_multi_query_pairs(spark):
+    rows = [(0, "S01_a", 0, [1.0, 0.0], [[1.0, 0.0], [0.0, 1.0]]), (1, "S01_b", 0, [0.0, 1.0], None), (2, "S01_c", 0, [-1.0, 0.0], [])]
+    frame = spark.createDataFrame(rows, "index_id long, camera_id string, class_id int, v array<double>, queries array<array<double>>")
+    got = {(r.i, r.j): r.sim for r in simjoin.multi_query_pairs(frame, -2.0, 0.5).collect()}
+    assert got == pytest.approx({(0, 1): 0.5, (0, 2): -0.5, (1, 2): 0.0})

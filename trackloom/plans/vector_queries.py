@@ -11,7 +11,7 @@ from trackloom.operators import evaluation, graphs, scoring, search, simjoin, tr
 from trackloom.operators import vectors as P
 from trackloom.operators.components import components
 from trackloom.plans.registry import query
-from trackloom.plans.views import DETECTIONS, FEATURES, PAIRS, SCORED, detections, edges, features, table, timed_edges
+from trackloom.plans.views import DETECTIONS, FEATURES, PAIRS, SCORED, chopped, detections, edges, features, table, timed_edges
 
 FT = f"WITH {FEATURES} "
 PR = f"WITH {PAIRS} "
@@ -526,3 +526,33 @@ def agg20(spark, sf):
 def win05(spark, sf):
     rows = features(spark, sf).select("index_id", F.col("pid").alias("cluster"), (F.col("index_id") % 400).cast("double").alias("start"), (F.col("index_id") % 400 + 5).cast("double").alias("end"), "v")
     return trajectories.temporal_split(rows, 40.0, 0.2)
+
+
+@query("jn04_multi_query_pairs", PR + ", m AS (SELECT p.i, p.j, 0.5 * p.sim + 0.5 * greatest(list_inner_product(a.v, b.v), list_inner_product(list_reverse(a.v), b.v), list_inner_product(a.v, list_reverse(b.v))) AS sim FROM pairs p JOIN feat a ON a.index_id = p.i JOIN feat b ON b.index_id = p.j) SELECT i, j, round(sim, 6) AS sim FROM m WHERE sim >= 0.25")
+def jn04(spark, sf):
+    rows = features(spark, sf).withColumn("queries", F.array("v", F.reverse("v")))
+    return _round(simjoin.multi_query_pairs(rows, 0.25, 0.5), "sim")
+
+
+@query("gra11_expanded")
+def gra11(spark, sf):
+    nodes = _nodes(spark, sf)
+    e = edges(spark, sf).select("i", "j", "sim")
+    clusters = graphs.threshold_clusters(nodes, e, 0.3)
+    return graphs.expanded_clusters(nodes.join(clusters, "node"), e, 0.25)
+
+
+@query("gra13_linked_trajectories")
+def gra13(spark, sf):
+    rows = chopped(spark, sf).withColumn("class_id", F.col("track_id") % 3)
+    number = F.col("track_id") * 10 + F.substring("camera_id", 4, 1).cast("long")
+    own = rows.withColumn("track_id", number)
+    links = trajectories.motion_links(own, 12, 200.0, 0.5, 0.2)
+    cameras = own.groupBy(F.col("track_id").alias("node")).agg(F.array_sort(F.collect_set("camera_id")).alias("cameras"))
+    return graphs.linked_trajectories(links, cameras)
+
+
+@query("evl04_hota_scores")
+def evl04(spark, sf):
+    rows, truth = _boxes(spark, sf)
+    return _round(trajectories.hota_scores(evaluation.box_matches(rows, truth, 1e-6), rows, truth), "hota", "det_a", "ass_a")
