@@ -9,12 +9,16 @@ as empty; an empty text still has its end token. Repeated ids are packed as docu
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from trackloom.llm import _text
 
@@ -24,25 +28,65 @@ GROUP_PIECES = 40_000
 MEMO_WORDS = 400_000
 
 
+#: Fixed value: how the tokenizer splits normalised words before its merges.
+_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
 class WordMemoTokenizer:
     """A tokenizer whose ids of a text are those of its white-space separated words in turn; words are
-    encoded once."""
+    encoded once, and so are the parts that they share."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # For parts that are normalised and split already: the same merges without those steps.
+        self.merger = Tokenizer.from_file(path)
+        self.merger.encode_special_tokens = True
+        self.merger.normalizer = None
+        self.merger.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        last = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.is_last = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.is_last[last] = True
+
+    def learn_parts(self, parts: list[str]) -> None:
+        """Ids of parts that stay whole up to the merges: each ends with its only word-end token."""
+        for k in range(0, len(parts), 400):
+            part = parts[k : k + 400]
+            (found,) = self.merger.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = ((np.flatnonzero(self.is_last[ids]) + 1) * 4).tolist()
+            packed = ids.tobytes()
+            self.parts.update((w, packed[a:b]) for w, a, b in zip(part, [0, *cuts[:-1]], cuts, strict=True))
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out = {}
-        for k in range(0, len(words), 400):
-            part = [w.decode("utf-8", "replace") for w in words[k : k + 400]]
-            starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in part])))
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
-            of = np.searchsorted(starts, [a for a, _ in found.offsets], "right") - 1
-            cut = np.searchsorted(of, np.arange(len(part) + 1))
-            out.update((w, ids[cut[i] : cut[i + 1]].tobytes()) for i, w in enumerate(words[k : k + 400]))
+        """Ids of distinct words. Words of plain Latin letters are split here, where normalising is
+        only lower case; others are left to the tokenizer as a whole."""
+        out: dict[bytes, bytes] = {}
+        plain: list[tuple[bytes, str]] = []
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            text = b" ".join(part).decode("utf-8", "replace")
+            if max(text) < "\u0250" and "\u0130" not in text:
+                plain += zip(part, text.lower().split(" "), strict=True)
+                continue
+            for word in part:
+                text = word.decode("utf-8", "replace")
+                if max(text) < "\u0250" and "\u0130" not in text:
+                    plain.append((word, text.lower()))
+                else:
+                    ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                    out[word] = np.array(ids, dtype="<u4").tobytes()
+        mixed = {t: _PRETOKEN.findall(t) for _, t in plain if not t.isalpha()}
+        if len(self.parts) > MEMO_WORDS:
+            self.parts.clear()
+        known = self.parts
+        wanted = {t for _, t in plain if t.isalpha()}.union(*mixed.values())
+        self.learn_parts([p for p in wanted if p not in known])
+        for word, text in plain:
+            parts = mixed.get(text)
+            out[word] = known[text] if parts is None else b"".join([known[p] for p in parts])
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -51,12 +95,13 @@ class WordMemoTokenizer:
             self.memo.clear()
         split = [t.split() for t in texts]
         memo = self.memo
-        new = self.learn(list({w for words in split for w in words if w not in memo}))
-        out_of = {w: i for w, i in new.items() if len(w) > 64}
-        memo.update((w, i) for w, i in new.items() if w not in out_of)
-        if out_of:
-            return [b"".join([memo[w] if w in memo else out_of[w] for w in words]) for words in split]
-        return [b"".join([memo[w] for w in words]) for words in split]
+        new = self.learn(list(set(chain.from_iterable(split)).difference(memo)))
+        long = {w for w in new if len(w) > 64}
+        memo.update(new)
+        out = [b"".join(map(memo.__getitem__, words)) for words in split]
+        for word in long:  # not worth the memory
+            del memo[word]
+        return out
 
 
 _LOADED: dict[str, WordMemoTokenizer] = {}
