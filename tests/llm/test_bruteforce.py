@@ -111,17 +111,43 @@ def test_bpe(spark, docs, tik):
         assert got[d]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_bpe_round_trip(spark):
+    frame = spark.createDataFrame(odd_rows(), SCHEMA)
+    encoded = bpe.bpe_encode(frame, q.RANKS, public_tokenizers.PATTERN)
+    got = sorted((bytes(r.decoded) for r in bpe.bpe_decode(encoded, q.RANKS).collect()))
+    assert got == sorted((t or "").encode() for _, t, *_ in odd_rows())
+    assert bpe.bpe_encode(frame.limit(0), q.RANKS, public_tokenizers.PATTERN, decode=True).collect() == []
+
+
+def test_odd_rows(spark):
+    frame = spark.createDataFrame(odd_rows(), SCHEMA)
+    n = frame.count()
+    assert licenses.scan_licenses(frame).count() == n and licenses.scan_licenses(frame.limit(0)).collect() == []
+    ledger = {(r.doc_id, r.n_words): r for r in quality.quality_ledger(frame).collect()}
+    assert len(quality.quality_ledger(frame).collect()) == n and quality.quality_ledger(frame.limit(0)).collect() == []
+    assert ledger[0, 0].n_repeat_words == 0 and ledger[9, 10].n_repeat_words == 10
+    pieces = packing.pack_documents(frame, q.WORDS).collect()
+    assert {r.doc_id for r in pieces} == {r[0] for r in odd_rows()} and all(0 < r.length <= 4096 for r in pieces)
+    assert sum(r.doc_id == 3 for r in pieces) == 2 and sum(r.doc_id == 0 for r in pieces) == 1
+    assert packing.pack_documents(frame.limit(0), q.WORDS).collect() == []
+
+
 @pytest.fixture(scope="module")
 def codec():
     return bpe.MergeReplay(bpe.read_ranks(q.RANKS), public_tokenizers.PATTERN)
 
 
+@pytest.fixture(scope="module")
+def decoder():
+    return bpe.TokenBytes(bpe.read_ranks(q.RANKS))
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(st.one_of(st.sampled_from("aab ehlo't\n  \t\x1c\x85\xa0 é12!"), st.characters(exclude_categories=["Cs"])), max_size=80))
-def test_bpe_any_text(codec, tik, text):
+def test_bpe_any_text(codec, decoder, tik, text):
     (ids,) = codec.encode([text])
     assert [int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)] == tik.encode_ordinary(text)
-    assert codec.decode(ids) == text.encode()
+    assert decoder.decode(ids) == text.encode()
 
 
 def test_packing(spark, docs):

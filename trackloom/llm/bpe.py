@@ -11,7 +11,9 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,9 @@ from pyspark.sql import DataFrame
 from trackloom.llm import _text
 
 #: Bound on the words whose encoding a Python worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
+#: Words whose merges are replayed together, and bytes of the texts they come from.
+REPLAY_WORDS, CORPUS_BYTES = 150_000, 8 << 20
 
 #: ASCII white space and what follows up to the next; a piece never crosses the start of such a run
 #: when the character before it isn't white space.
@@ -42,107 +46,160 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.token = {v: k for k, v in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.pair: dict[tuple[int, int], int] = {}
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        pairs, merged = array("q"), array("q")
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    pairs.append(left << 32 | right)
+                    merged.append(rank)
+        order = np.argsort(pairs)
+        self.pairs, self.merged = np.asarray(pairs)[order], np.asarray(merged)[order]
         self.memo: dict[str, bytes] = {}
 
-    def rank_of(self, left: int, right: int) -> int:
-        """The rank of the token that two tokens make, -1 if none."""
-        found = self.pair.get((left, right))
-        if found is None:
-            found = self.pair[(left, right)] = self.ranks.get(self.token[left] + self.token[right], -1)
-        return found
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The tokens of each word. Of the pairs in a word the one with the lowest rank, leftmost
-        first, is merged until none has a rank."""
-        token: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts = []
-        index: dict[int, list[int]] = {}
-        rank_of = self.rank_of
-        for word in words:
-            base = len(token)
-            starts.append(base)
-            token += [self.byte[b] for b in word]
-            size = len(word)
-            after += range(base + 1, base + size + 1)
-            before += range(base - 1, base + size - 1)
-            if size:
-                after[-1] = before[base] = -1
-            for at in range(base, base + size - 1):
-                rank = rank_of(token[at], token[at + 1])
-                if rank >= 0:
-                    index.setdefault(rank, []).append(at)
-        queue = list(index)
-        heapq.heapify(queue)
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of the tokens that pairs of tokens make, -1 if none."""
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.merged[at], -1)
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words, none of them empty, in turn, and how many each has. Of the pairs in
+        a word the one with the lowest rank, leftmost first, is merged until none has a rank. A rank
+        takes one place in each word at a time, so that lower ranks that a merge has made possible
+        come before the word's next place."""
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ends = np.cumsum(sizes)
+        n = int(ends[-1])
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        token = self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        after[ends - 1] = -1
+        before[ends - sizes] = -1
+        alive = np.ones(n, dtype=bool)
+        rank_at = np.full(n, -1, dtype=np.int32)  # of the pair that starts at a position
+        rank_at[:-1] = self.rank_of(token[:-1], token[1:])
+        rank_at[ends - 1] = -1
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def add(ranks: np.ndarray, places: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            starts = [0, *cuts.tolist()]
+            for rank, a, b in zip(ranks[starts].tolist(), starts, [*starts[1:], len(ranks)], strict=True):
+                held = index.get(rank)
+                if held is None:
+                    index[rank] = [places[a:b]]
+                    heapq.heappush(queue, rank)
+                else:
+                    held.append(places[a:b])
+
+        possible = np.flatnonzero(rank_at >= 0).astype(np.int32)
+        if len(possible):
+            add(rank_at[possible], possible)
         while queue:
             rank = heapq.heappop(queue)
-            places = index.pop(rank, None)
-            if places is None:
+            held = index.pop(rank)
+            at = held[0] if len(held) == 1 else np.concatenate(held)
+            at = at[rank_at[at] == rank]  # others have a neighbour that has been merged since
+            if not len(at):
                 continue
-            places.sort()
-            for k, at in enumerate(places):
-                right = after[at] if token[at] >= 0 else -1
-                if right < 0 or rank_of(token[at], token[right]) != rank:
-                    continue  # a neighbour has been merged since
-                token[at], token[right] = rank, -1
-                far = after[at] = after[right]
-                lower = False
-                if far >= 0:
-                    before[far] = at
-                    new = rank_of(rank, token[far])
-                    if new >= 0:
-                        lower |= new < rank
-                        if new not in index:
-                            heapq.heappush(queue, new)
-                        index.setdefault(new, []).append(at)
-                near = before[at]
-                if near >= 0:
-                    new = rank_of(token[near], rank)
-                    if new >= 0:
-                        lower |= new < rank
-                        if new not in index:
-                            heapq.heappush(queue, new)
-                        index.setdefault(new, []).append(near)
-                if lower:  # a merge of lower rank has become possible and comes before the rest
-                    index.setdefault(rank, []).extend(places[k + 1 :])
+            if len(at) > 1:
+                at.sort()
+                of = word[at]
+                again = of[1:] == of[:-1]
+                if again.any():
+                    first = np.concatenate(([True], ~again))
+                    rest, at = at[~first], at[first]
+                    index[rank] = [rest]
                     heapq.heappush(queue, rank)
-                    break
-        out = []
-        for start, word in zip(starts, words, strict=True):
-            ids, at = [], start if word else -1
-            while at >= 0:
-                ids.append(token[at])
-                at = after[at]
-            out.append(ids)
+            right, near = after[at], before[at]
+            far = after[right]
+            after[at] = far
+            token[at] = rank
+            rank_at[right] = -1
+            alive[right] = False
+            rank_at[at] = -1
+            new_ranks, new_places = [], []
+            inner = np.flatnonzero(far >= 0)
+            if len(inner):
+                far, left = far[inner], at[inner]
+                before[far] = left
+                made = self.rank_of(token[left], token[far])
+                rank_at[left] = made
+                new_ranks.append(made)
+                new_places.append(left)
+            inner = np.flatnonzero(near >= 0)
+            if len(inner):
+                near, mid = near[inner], at[inner]
+                made = self.rank_of(token[near], token[mid])
+                rank_at[near] = made
+                new_ranks.append(made)
+                new_places.append(near)
+            if new_ranks:
+                ranks, places = np.concatenate(new_ranks), np.concatenate(new_places)
+                some = ranks >= 0
+                if some.any():
+                    add(ranks[some], places[some])
+        return token[alive], np.add.reduceat(alive, ends - sizes, dtype=np.int64)
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Packed ids of distinct pieces; a piece that is a token itself stays whole."""
+        out: dict[str, bytes] = {}
+        split: list[str] = []
+        for piece in pieces:
+            whole = self.ranks.get(piece.encode())
+            if whole is None:
+                split.append(piece)
+            else:
+                out[piece] = whole.to_bytes(4, "little")
+        for k in range(0, len(split), REPLAY_WORDS):
+            part = split[k : k + REPLAY_WORDS]
+            tokens, counts = self.replay([p.encode() for p in part])
+            packed, cuts = tokens.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
+            out.update((p, packed[a:b]) for p, a, b in zip(part, [0, *cuts[:-1]], cuts, strict=True))
         return out
 
-    def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Packed ids of distinct pieces; a piece that is a token itself stays whole."""
-        pieces = list(pieces)
-        whole = [self.ranks.get(p.encode()) for p in pieces]
-        rest = iter(self.replay([p.encode() for p, w in zip(pieces, whole, strict=True) if w is None]))
-        return {p: np.array([w] if w is not None else next(rest), dtype="<u4").tobytes() for p, w in zip(pieces, whole, strict=True)}
+    def split(self, text: str) -> list[str]:
+        """Segments of a text that the pattern never matches across."""
+        return [text] if _OTHER_SPACE.search(text) else _SEGMENT.findall(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def study(self, texts: Iterable[str]) -> None:
+        """Replays the merges of all words of the texts that aren't remembered yet."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        if len(self.pair) > 4 * MEMO_WORDS:
-            self.pair.clear()
-        split = [[t] if _OTHER_SPACE.search(t) else _SEGMENT.findall(t) for t in texts]
-        memo = self.memo
-        new = {s: self.pattern.findall(s) for s in {s for segments in split for s in segments if s not in memo}}
-        learned = self.learn({p for pieces in new.values() for p in pieces})
-        long = {s for s, pieces in new.items() if len(s) > 64}
-        fresh = {s: b"".join([learned[p] for p in pieces]) for s, pieces in new.items()}
-        memo.update((s, ids) for s, ids in fresh.items() if s not in long)
-        if long:
-            return [b"".join([memo[s] if s in memo else fresh[s] for s in segments]) for segments in split]
-        return [b"".join([memo[s] for s in segments]) for segments in split]
+        new: set[str] = set()
+        for text in texts:
+            new.update(s for s in self.split(text) if len(s) <= 64 and s not in self.memo)
+        self._remember(new, self.memo)
+
+    def _remember(self, segments: Iterable[str], memo: dict[str, bytes]) -> None:
+        found = {s: self.pattern.findall(s) for s in segments}
+        learned = self.learn(list({p for pieces in found.values() for p in pieces}))
+        memo.update((s, learned[pieces[0]] if len(pieces) == 1 else b"".join([learned[p] for p in pieces])) for s, pieces in found.items())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        memo, out = self.memo, []
+        for text in texts:
+            segments = self.split(text)
+            try:
+                out.append(b"".join([memo[s] for s in segments]))
+            except KeyError:
+                own: dict[str, bytes] = {}
+                self._remember({s for s in segments if s not in memo}, own)
+                out.append(b"".join([own[s] if s in own else memo[s] for s in segments]))
+        return out
+
+
+class TokenBytes:
+    """Decodes packed ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.token = {v: k for k, v in ranks.items()}
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of packed ids."""
@@ -150,39 +207,59 @@ class MergeReplay:
         return b"".join([token[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
 
-_LOADED: dict[tuple[str, str], MergeReplay] = {}
+_LOADED: dict[tuple, MergeReplay | TokenBytes] = {}
 
 
 def _codec(path: str, pattern: str) -> MergeReplay:
     if (path, pattern) not in _LOADED:
-        _LOADED.clear()
         _LOADED[path, pattern] = MergeReplay(read_ranks(path), pattern)
     return _LOADED[path, pattern]
 
 
-_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+def _decoder(path: str) -> TokenBytes:
+    if (path,) not in _LOADED:
+        _LOADED[path,] = TokenBytes(read_ranks(path))
+    return _LOADED[path,]
 
 
-def bpe_encode(documents: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of each text, packed as little-endian unsigned 32-bit integers. rank_path
-    must be readable by the executors."""
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
-    def kernel(batch: pa.RecordBatch) -> dict[str, list]:
-        ids = _codec(rank_path, pattern).encode(_text.as_strings(batch.column("text")))
-        return {"doc_id": batch.column("doc_id").to_pylist(), "ids": ids}
 
-    return _text.map_texts(_text.texts_of(documents, id_col, text_col), kernel, "doc_id long, ids binary", _ENCODED)
+def bpe_encode(documents: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """(doc_id, ids): the ids of each text, packed as little-endian unsigned 32-bit integers. With decode,
+    also `decoded`, the bytes that these ids stand for, without passing the ids through another Python
+    worker. rank_path must be readable by the executors."""
+    schema = _DECODED if decode else _ENCODED
+
+    def run(batches):
+        held, size = [], 0
+        for batch in chain(batches, [None]):
+            for part in [] if batch is None else _text.slices(batch):
+                held.append(part)
+                size += part.nbytes
+            if held and (batch is None or size >= CORPUS_BYTES):
+                codec = _codec(rank_path, pattern)
+                codec.study(t for part in held for t in _text.as_strings(part.column("text")))
+                for part in held:
+                    out = {"doc_id": part.column("doc_id").to_pylist(), "ids": codec.encode(_text.as_strings(part.column("text")))}
+                    if decode:
+                        decoder = _decoder(rank_path)
+                        out["decoded"] = [decoder.decode(x) for x in out["ids"]]
+                    yield pa.RecordBatch.from_pydict(out, schema=schema)
+                held, size = [], 0
+
+    return _text.texts_of(documents, id_col, text_col).mapInArrow(run, "doc_id long, ids binary" + ", decoded binary" * decode)
 
 
 _DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
 
-def bpe_decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+def bpe_decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     """(doc_id, ids, decoded): the bytes that packed ids stand for. Null ids decode to nothing."""
 
     def run(batches):
         for batch in batches:
-            codec = _codec(rank_path, pattern)
+            codec = _decoder(rank_path)
             ids = batch.column("ids").to_pylist()
             decoded = [codec.decode(x or b"") for x in ids]
             yield pa.RecordBatch.from_pydict(

@@ -41,8 +41,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = public_tokenizers.PATTERN
-    decoded = bpe.bpe_decode(bpe.bpe_encode(_documents(spark, sf_dir), RANKS, pattern), RANKS)
+    decoded = bpe.bpe_encode(_documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN, decode=True)
     return decoded.select(
         "doc_id",
         F.expr("length(ids) div 4").alias("n_tokens"),
