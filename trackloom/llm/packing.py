@@ -24,31 +24,40 @@ from trackloom.llm import _text
 
 #: Pieces packed together by one task.
 GROUP_PIECES = 40_000
-#: Bound on the words whose ids a Python worker remembers.
-MEMO_WORDS = 400_000
+#: Bound on the words whose ids a task remembers.
+MEMO_WORDS = 600_000
 
 
 #: Fixed value: how the tokenizer splits normalised words before its merges.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+_LOADED: dict[str, tuple[Tokenizer, Tokenizer, np.ndarray]] = {}
+
+
+def _tokenizers(path: str) -> tuple[Tokenizer, Tokenizer, np.ndarray]:
+    """The tokenizer; one with the same merges for parts that are normalised and split already; and
+    which tokens end a word. Read once by a Python worker."""
+    if path not in _LOADED:
+        both = [Tokenizer.from_file(path), Tokenizer.from_file(path)]
+        for tokenizer in both:
+            tokenizer.encode_special_tokens = True
+        both[1].normalizer = None
+        both[1].pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        is_last = np.zeros(both[0].get_vocab_size() + 1, dtype=bool)
+        is_last[[i for t, i in both[0].get_vocab().items() if t.endswith("</w>")]] = True
+        _LOADED[path] = (*both, is_last)
+    return _LOADED[path]
+
+
 class WordMemoTokenizer:
     """A tokenizer whose ids of a text are those of its white-space separated words in turn; words are
     encoded once, and so are the parts that they share."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        # For parts that are normalised and split already: the same merges without those steps.
-        self.merger = Tokenizer.from_file(path)
-        self.merger.encode_special_tokens = True
-        self.merger.normalizer = None
-        self.merger.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer, self.merger, self.is_last = _tokenizers(path)
         self.memo: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        last = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
-        self.is_last = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
-        self.is_last[last] = True
 
     def learn_parts(self, parts: list[str]) -> None:
         """Ids of parts that stay whole up to the merges: each ends with its only word-end token."""
@@ -104,7 +113,6 @@ class WordMemoTokenizer:
         return out
 
 
-_LOADED: dict[str, WordMemoTokenizer] = {}
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
 
@@ -115,10 +123,12 @@ def token_pieces(
     tokenizer_path must be readable by the executors."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    own: list[WordMemoTokenizer] = []  # of a task; what it remembers goes with it
+
     def kernel(batch: pa.RecordBatch) -> dict[str, list]:
-        if tokenizer_path not in _LOADED:
-            _LOADED[tokenizer_path] = WordMemoTokenizer(tokenizer_path)
-        encoded = _LOADED[tokenizer_path].encode(_text.as_bytes(batch.column("text")))
+        if not own:
+            own.append(WordMemoTokenizer(tokenizer_path))
+        encoded = own[0].encode(_text.as_bytes(batch.column("text")))
         out: dict[str, list] = {c: [] for c in _PIECES.names}
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
             ids += end
