@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from trackloom.llm import _text
 
-#: Bound on the words whose encoding a Python worker remembers.
+#: Bound on the words whose encoding a task remembers from one corpus slice to the next.
 MEMO_WORDS = 100_000
 #: Words whose merges are replayed together, and bytes of the texts they come from.
 REPLAY_WORDS, CORPUS_BYTES = 150_000, 8 << 20
@@ -247,6 +247,7 @@ def bpe_encode(documents: DataFrame, rank_path: str, pattern: str, id_col: str =
                         out["decoded"] = [decoder.decode(x) for x in out["ids"]]
                     yield pa.RecordBatch.from_pydict(out, schema=schema)
                 held, size = [], 0
+        _codec(rank_path, pattern).memo.clear()  # workers outlive their tasks
 
     return _text.texts_of(documents, id_col, text_col).mapInArrow(run, "doc_id long, ids binary" + ", decoded binary" * decode)
 
