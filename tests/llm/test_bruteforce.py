@@ -1,6 +1,5 @@
 """Queries held against brute force on sf0.001 and small fixtures."""
 
-import base64
 import hashlib
 import re
 import zlib
