@@ -26,9 +26,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest id. Of rows that
-    agree in id and text one stays."""
-    found = jaccard.jaccard_components(docs)
+    """One document of each component of near copies (0.8 or more of their 5-word shingles in common): the
+    one with the smallest id. Of rows that agree in id and text one stays."""
+    found = jaccard.jaccard_components(docs, size=5, percent=80)
     keepers = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keepers, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -70,3 +70,32 @@ def test_odd_rows(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 4
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0) if "text" in docs.columns else docs, SF).count() == 0
+
+
+def brute_keepers(docs, size=5, percent=80):
+    """Ids that stay of [(doc_id, text)]: the smallest of each component of near copies."""
+    sets = []
+    for _, text in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    least, where = {d: d for d, _ in docs}, defaultdict(list)
+    pairs = set()
+    for i, s in enumerate(sets):
+        pairs |= {(j, i) for t in s for j in where[t]}
+        for t in s:
+            where[t].append(i)
+    links = [(docs[i][0], docs[j][0]) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    return {d for d, low in least.items() if d == low}
+
+
+def test_near_copies_of_five_words(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    words = [f"w{k}" for k in range(100)]
+    edited = [*words[:30], "x", *words[31:70], "y", *words[71:]]  # 86 of 106 shingles of 5 words, 89 of 105 of 4 words
+    docs += [(10**6, " ".join(words)), (10**6 + 1, " ".join(edited))]
+    frame = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, SF).collect()}
+    assert got == brute_keepers(docs) and 10**6 in got and 10**6 + 1 not in got
