@@ -230,6 +230,20 @@ def test_search_in_several_passes(spark, monkeypatch):
     assert got == want
 
 
+def test_search_orders_copies_by_id(spark):
+    rows = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(40, 0, -1)], "index_id long, v array<double>").coalesce(1)
+    got = search.top_matches(rows.where("index_id = 40"), rows, 3).collect()
+    assert sorted((r.place, r.index_id) for r in got) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_all_matches(spark, monkeypatch):
+    m, rows = features(spark)
+    monkeypatch.setattr(search, "MAX_PAIRS", 50)
+    monkeypatch.setattr(search._probe_blocks, "__defaults__", (4,))
+    got = {(r.probe_id, r.index_id): r.sim for r in search.all_matches(rows.where("index_id < 10"), rows, exclude_self=True).collect()}
+    assert got == pytest.approx({(i, j): m[i] @ m[j] for i in range(10) for j in range(60) if i != j})
+
+
 def test_scores(spark):
     row = spark.range(1).select(
         scoring.temporal_overlap(F.lit(0.0), F.lit(10.0), F.lit(5.0), F.lit(7.0)).alias("inside"),

@@ -12,6 +12,8 @@ from trackloom.operators.scoring import alert_level
 
 #: Probes compared in one pass; more are searched in several.
 MAX_PROBES = 20_000
+#: Pairs that a task of all_matches holds at once, about.
+MAX_PAIRS = 1 << 20
 
 
 def _probe_blocks(probes: DataFrame, block: int = MAX_PROBES):
@@ -36,12 +38,13 @@ def top_matches(probes: DataFrame, gallery: DataFrame, k: int, min_similarity: f
             for part in batches:
                 if not len(part):
                     continue
+                part = part.sort_values("index_id")  # the stable sort below then orders ties by id
                 sims = matrix @ np.stack(part["v"].to_numpy()).T
                 own = part["index_id"].to_numpy()
                 ok = sims >= min_similarity
                 if exclude_self:
                     ok &= ids[:, None] != own[None, :]
-                keep = np.argsort(np.where(ok, -sims, np.inf), axis=1, kind="stable")[:, : k + 8]
+                keep = np.argsort(np.where(ok, -sims, np.inf), axis=1, kind="stable")[:, :k]
                 rows = np.repeat(np.arange(len(ids)), keep.shape[1])
                 cols = keep.ravel()
                 good = ok[rows, cols]
@@ -57,6 +60,25 @@ def top_matches(probes: DataFrame, gallery: DataFrame, k: int, min_similarity: f
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def all_matches(probes: DataFrame, gallery: DataFrame, exclude_self: bool = False) -> DataFrame:
+    """(probe_id, index_id, sim) of every probe and gallery row. A task keeps nothing between its parts of
+    MAX_PAIRS."""
+    found = None
+    for ids, matrix in _probe_blocks(probes):
+
+        def run(batches, ids=ids, matrix=matrix, step=max(1, MAX_PAIRS // len(ids))):
+            for batch in batches:
+                for k in range(0, len(batch), step):
+                    part = batch.iloc[k : k + step]
+                    sims = matrix @ np.stack(part["v"].to_numpy()).T
+                    out = pd.DataFrame({"probe_id": np.repeat(ids, len(part)), "index_id": np.tile(part["index_id"].to_numpy(), len(ids)), "sim": sims.ravel()})
+                    yield out[out["probe_id"] != out["index_id"]] if exclude_self else out
+
+        part = gallery.select("index_id", "v").mapInPandas(run, "probe_id long, index_id long, sim double")
+        found = part if found is None else found.unionByName(part)
+    return gallery.sparkSession.createDataFrame([], "probe_id long, index_id long, sim double") if found is None else found
+
+
 def best_per_group(probes: DataFrame, gallery: DataFrame, group: str) -> DataFrame:
     """(probe_id, group, best): each probe's largest similarity in each gallery group. Tasks reduce their
     rows to one for each probe and group."""

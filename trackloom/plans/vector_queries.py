@@ -333,7 +333,7 @@ def win11(spark, sf):
 def _ranked(spark, sf):
     """Every gallery row for each probe of the stated query set, of another camera; a match has the class."""
     rows = features(spark, sf)
-    found = search.top_matches(_probes(spark, sf), rows, 1_000_000, exclude_self=True)
+    found = search.all_matches(_probes(spark, sf), rows, exclude_self=True)
     a = rows.select(F.col("index_id").alias("probe_id"), F.col("camera_id").alias("own"), F.col("class_id").alias("own_class"))
     b = rows.select("index_id", "camera_id", "class_id")
     joined = found.join(a, "probe_id").join(b, "index_id").where("own <> camera_id")
@@ -492,7 +492,7 @@ def agg33(spark, sf):
 @query("win13_camera_map", PROBES + ", r AS (SELECT c.probe_id, c.sim, c.index_id, f.class_id = c.index_id % 3 AS hit, f.camera_id = c.camera_id AS own FROM c JOIN feat f ON f.index_id = c.probe_id WHERE c.index_id <> c.probe_id), k AS (SELECT *, row_number() OVER w AS place, sum(hit::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hits FROM r WINDOW w AS (PARTITION BY own, probe_id ORDER BY sim DESC, index_id)), a AS (SELECT own, probe_id, avg(hits / place::DOUBLE) AS ap FROM k WHERE hit GROUP BY ALL) SELECT own AS same_camera, round(avg(ap), 6) AS map, count(*) AS n_queries FROM a GROUP BY own")
 def win13(spark, sf):
     rows = features(spark, sf)
-    found = search.top_matches(_probes(spark, sf), rows, 1_000_000, exclude_self=True)
+    found = search.all_matches(_probes(spark, sf), rows, exclude_self=True)
     a = rows.select(F.col("index_id").alias("probe_id"), F.col("camera_id").alias("own"), F.col("class_id").alias("own_class"))
     joined = found.join(a, "probe_id").join(rows.select("index_id", "camera_id", "class_id"), "index_id")
     ranked = joined.select(
