@@ -14,6 +14,7 @@ from trackloom.operators import evaluation, graphs, scoring, search, simjoin, tr
 from trackloom.operators import tracklets as T
 from trackloom.operators import vectors as P
 from trackloom.operators.components import components
+from trackloom.plans import vector_queries
 from trackloom.sinks import tracking as sinks
 from trackloom.sources import tracking as sources
 from trackloom.streaming import sessions, trackers
@@ -377,6 +378,22 @@ def test_reranking(spark):
         assert got[i, j] == pytest.approx(weight * d[i, j] + (1 - weight) * (1 - least / (2 - least)))
 
 
+def test_reranking_of_all_rows(spark):
+    _, rows = features(spark, 50, 6, 2)
+    pairs = spark.createDataFrame([(i, j) for i in range(5) for j in range(50) if i != j], "i long, j long")
+    want = {(r.i, r.j): r.distance for r in simjoin.reranked(rows, pairs, 8, 3, 0.3).collect()}
+    got = {(r.i, r.j): r.distance for r in simjoin.reranked_all(rows, rows.where("index_id < 5"), 8, 3, 0.3).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_reranked_query_scores_every_row(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = vector_queries.features(spark, sf)
+    got = [(r.i, r.j) for r in vector_queries.vec19(spark, sf).collect()]
+    ids = [r.index_id for r in rows.select("index_id").collect()]
+    assert sorted(got) == sorted((i, j) for i in ids if i % 50 == 0 for j in ids if i != j)
+
+
 def test_temporal_split(spark):
     rows = [(0, 1, 0.0, 5.0, [1.0, 0.0]), (1, 1, 3.0, 8.0, [1.0, 0.0]), (2, 1, 50.0, 55.0, [0.0, 1.0]), (3, 1, 200.0, 210.0, [-1.0, 0.0]), (4, 2, 0.0, 1.0, [1.0, 0.0]), (5, 2, 90.0, 91.0, [1.0, 0.0])]
     frame = spark.createDataFrame(rows, "index_id long, cluster long, start double, end double, v array<double>")

@@ -469,9 +469,7 @@ def gra17(spark, sf):
 
 @query("vec19_reranked")
 def vec19(spark, sf):
-    rows = features(spark, sf)
-    pairs = search.top_matches(_probes(spark, sf), rows, 30, exclude_self=True).select(F.col("probe_id").alias("i"), F.col("index_id").alias("j"))
-    return _round(simjoin.reranked(rows, pairs, 20, 6, 0.3), "distance")
+    return _round(simjoin.reranked_all(features(spark, sf), _probes(spark, sf), 20, 6, 0.3), "distance")
 
 
 @query("agg36_rank1_agreement", PROBES + ", a AS (SELECT probe_id, index_id AS one FROM c WHERE probe_id <> index_id QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY sim DESC, index_id) = 1), h AS (SELECT p.probe_id, f.index_id, list_inner_product(p.v[1:32], f.v[1:32]) AS sim FROM p, feat f WHERE p.probe_id <> f.index_id), b AS (SELECT probe_id, index_id AS two FROM h QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY sim DESC, index_id) = 1) SELECT count(*) AS n, count(*) FILTER (one = two) AS agree FROM a JOIN b USING (probe_id)")
