@@ -197,18 +197,6 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
-def test_decode():
-    words = "idiot stupid worthless pathetic the and of thing with is on at he in er ou ion " * 50
-    counts = np.full((toxicity.LETTERS, toxicity.LETTERS), 0.01)
-    codes = [ord(c) if c != " " else 0 for c in words]
-    np.add.at(counts, (codes[:-1], codes[1:]), 1)
-    model = np.log(counts / counts.sum(1, keepdims=True))
-    for written, meant in {"1d10t": "idiot", "stup1d": "stupid", "$tupid": "stupid", "idiooooot": "idiot", "w0rthless!!": "worthless", "thing,": "thing", "12345": None}.items():
-        got = toxicity.restored(written, model)
-        assert got == meant or meant is None and got == "12345"
-    assert "idiot" in toxicity.words_of("you i d i o t , go")
-
-
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     got = q.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
