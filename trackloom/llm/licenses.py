@@ -2,19 +2,19 @@
 text; long matches are chained into covered spans of a template.
 
 Runs inside the tasks that read the documents, without a shuffle; the automaton is built once per
-task from the templates, a fixed list. Null and empty texts give a row without spans. Rows are
+task from the templates, a list of any length that the tasks are given. Null and empty texts give a row without spans. Rows are
 independent of each other, so repeated ids and null ids give one row for each input row."""
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from trackloom.llm import _text
 from trackloom.llm.automaton import SuffixAutomaton
+from trackloom.llm.license_texts import FULL_TEXTS, NOTICES
 
 #: Phrases that count wherever their words stand consecutively, and their labels.
 BASE_PHRASES = {
@@ -24,46 +24,16 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
-#: Wording of public licence notices.
-TEMPLATES = {
-    "gpl": [
-        "this work is licensed under the gnu general public license version 3",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    ],
-    "apache": [
-        "licensed under the apache license version 2 0",
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
-        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    ],
-    "cc-by": [
-        "licensed under cc by nc 4 0",
-        "this work is licensed under a creative commons attribution 4 0 international license",
-    ],
-    "mit": [
-        "released under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    ],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    ],
-    "mpl": [
-        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
-    ],
-    "isc": [
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    ],
-    "unlicense": [
-        "this is free and unencumbered software released into the public domain",
-    ],
-    "all-rights-reserved": ["all rights reserved"],
-}
-
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
+#: Templates that texts are held against: notices, and whole texts.
+TEMPLATES = {label: [*NOTICES.get(label, []), *([FULL_TEXTS[label]] if label in FULL_TEXTS else [])] for label in [*NOTICES, *FULL_TEXTS]}
+
+
+def tokens_of(text: str) -> list[bytes]:
+    """Words of a text; only A-Z are lower-cased."""
+    return _WORD.findall(text.encode().lower())
+
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>,"
     " spans array<struct<label:string,start:long,end:long,covered:long,share:double>>"
@@ -79,18 +49,22 @@ class TemplateIndex:
     """The automaton of all templates and base phrases, and what its states mean."""
 
     def __init__(self, templates: dict[str, list[str]], phrases: dict[str, str], min_match: int, max_gap: int, min_share: float):
-        if sum(map(len, templates.values())) > 62:
-            raise ValueError("at most 62 templates, as they are bits of a 64-bit integer")
         self.min_match, self.max_gap, self.min_share = min_match, max_gap, min_share
-        words = sorted({w for texts in [*templates.values(), phrases] for t in texts for w in t.split()})
-        self.token = {w.encode(): k for k, w in enumerate(words)}
-        self.templates = [(label, [self.token[w.encode()] for w in t.split()]) for label, texts in templates.items() for t in texts]
-        of_phrase = [([self.token[w.encode()] for w in t.split()], label) for t, label in phrases.items()]
+        words = sorted({w for texts in [*templates.values(), phrases] for t in texts for w in tokens_of(t)})
+        self.token = {w: k for k, w in enumerate(words)}
+        self.templates = [(label, [self.token[w] for w in tokens_of(t)]) for label, texts in templates.items() for t in texts]
+        of_phrase = [([self.token[w] for w in tokens_of(t)], label) for t, label in phrases.items()]
         sequences = [t for _, t in self.templates] + [t for t, _ in of_phrase]
         self.automaton = SuffixAutomaton(sequences)
-        bits = np.array([1 << k if k < len(self.templates) else 0 for k, t in enumerate(sequences) for _ in t], dtype=np.int64)
-        #: The templates that contain a state's strings, as bits.
-        self.holders = self.automaton.merged(bits, 0, np.bitwise_or).tolist()
+        #: The templates that contain a state's strings, as bits of integers of any length.
+        self.holders = [0] * len(self.automaton.link)
+        place = iter(self.automaton.states)
+        for k, tokens in enumerate(sequences):
+            for _ in tokens:
+                state = next(place)
+                self.holders[state] |= 1 << k if k < len(self.templates) else 0
+        for v in sorted(range(1, len(self.holders)), key=self.automaton.length.__getitem__, reverse=True):
+            self.holders[self.automaton.link[v]] |= self.holders[v]
         ends: dict[int, list[tuple[int, str]]] = {}
         for tokens, label in of_phrase:
             state = matched = 0
