@@ -1,6 +1,7 @@
 """Queries held against brute force on sf0.001 and small fixtures."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -61,6 +62,24 @@ def test_license_spans(spark):
     assert (span["label"], span["start"], span["end"], span["covered"]) == ("mit", 0, 21, 20) and not got[2]["spans"]
 
 
+def test_many_templates(spark):
+    rng = random.Random(4)
+    templates = {f"l{k}": [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(6, 30)))] for k in range(150)}
+    picked = [(k, f"before {templates[f'l{k}'][0].upper()} after") for k in range(150)]
+    got = {r["doc_id"]: r for r in rows(licenses.scan_licenses(spark.createDataFrame(picked, "doc_id long, text string"), templates=templates))}
+    for k, text in picked:
+        n = len(text.split()) - 2
+        assert (f"l{k}", 1, 1 + n, n, 1.0) in {(s["label"], s["start"], s["end"], s["covered"], s["share"]) for s in got[k]["spans"]}
+
+
+def test_whole_licence_texts(spark):
+    texts = [(k, "intro words\n" + t) for k, t in enumerate(licenses.FULL_TEXTS.values())]
+    got = {r["doc_id"]: r for r in rows(licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")))}
+    for k, (label, text) in enumerate(licenses.FULL_TEXTS.items()):
+        n = len(licenses.tokens_of(text))
+        assert (label, 2, 2 + n, 1.0) in {(s["label"], s["start"], s["end"], s["share"]) for s in got[k]["spans"]}
+
+
 def brute_quality(text):
     words = WORD.findall(text)
     counts = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
@@ -192,6 +211,5 @@ def test_tightest_open_sequence(lengths):
 @given(st.lists(st.text(st.one_of(st.sampled_from("ab Éé'1!\ńΣσ"), st.characters(exclude_categories=["Cs"])), max_size=30), max_size=5))
 def test_word_memo(texts):
     memo, tokenizer = packing.WordMemoTokenizer(q.WORDS), Tokenizer.from_file(q.WORDS)
-    tokenizer.encode_special_tokens = True
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [[int.from_bytes(x[k : k + 4], "little") for k in range(0, len(x), 4)] for x in memo.encode([t.encode() for t in texts])] == want

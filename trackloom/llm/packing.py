@@ -3,9 +3,11 @@ over remaining capacities finds the tightest open sequence in logarithmic time.
 
 Only documents longer than a sequence are cut, into full pieces; full pieces fill a sequence alone.
 The others are dealt evenly into groups of about GROUP_PIECES, and each group is packed by itself, so
-that no task holds more; at most the last sequences of each group are not full. Ties are broken by
-document and piece, so a group's packing doesn't depend on the order of its rows. A null text counts
-as empty; an empty text still has its end token. Repeated ids are packed as documents of their own."""
+that no task holds more; at most the last sequences of each group are not full. Pieces are dealt by a
+number of their own, so equal rows spread as well. Ties are broken by document and piece, so a group's
+packing doesn't depend on the order of its rows. A null text counts as empty; an empty text still has
+its end token. Repeated ids are packed as documents of their own. A text that holds the string of an
+added token, such as <|endoftext|>, gets the ids that the tokenizer gives by default, that token's own."""
 
 from __future__ import annotations
 
@@ -32,21 +34,22 @@ MEMO_WORDS = 600_000
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-_LOADED: dict[str, tuple[Tokenizer, Tokenizer, np.ndarray]] = {}
+_LOADED: dict[str, tuple[Tokenizer, Tokenizer, np.ndarray, list[bytes]]] = {}
 
 
-def _tokenizers(path: str) -> tuple[Tokenizer, Tokenizer, np.ndarray]:
-    """The tokenizer; one with the same merges for parts that are normalised and split already; and
-    which tokens end a word. Read once by a Python worker."""
+def _tokenizers(path: str) -> tuple[Tokenizer, Tokenizer, np.ndarray, list[bytes]]:
+    """The tokenizer; one with the same merges for parts that are normalised and split already; which
+    tokens end a word; and the strings of added tokens, which are matched in a text as written. Read
+    once by a Python worker."""
     if path not in _LOADED:
         both = [Tokenizer.from_file(path), Tokenizer.from_file(path)]
-        for tokenizer in both:
-            tokenizer.encode_special_tokens = True
+        both[1].encode_special_tokens = True
+        added = [t.content.encode() for t in both[0].get_added_tokens_decoder().values()]
         both[1].normalizer = None
         both[1].pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         is_last = np.zeros(both[0].get_vocab_size() + 1, dtype=bool)
         is_last[[i for t, i in both[0].get_vocab().items() if t.endswith("</w>")]] = True
-        _LOADED[path] = (*both, is_last)
+        _LOADED[path] = (*both, is_last, added)
     return _LOADED[path]
 
 
@@ -55,7 +58,7 @@ class WordMemoTokenizer:
     encoded once, and so are the parts that they share."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.merger, self.is_last = _tokenizers(path)
+        self.tokenizer, self.merger, self.is_last, self.added = _tokenizers(path)
         self.memo: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -85,8 +88,7 @@ class WordMemoTokenizer:
                 if max(text) < "\u0250" and "\u0130" not in text:
                     plain.append((word, text.lower()))
                 else:
-                    ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                    out[word] = np.array(ids, dtype="<u4").tobytes()
+                    out[word] = self.whole(word)
         mixed = {t: _PRETOKEN.findall(t) for _, t in plain if not t.isalpha()}
         if len(self.parts) > MEMO_WORDS:
             self.parts.clear()
@@ -98,16 +100,22 @@ class WordMemoTokenizer:
             out[word] = known[text] if parts is None else b"".join([known[p] for p in parts])
         return out
 
+    def whole(self, text: bytes) -> bytes:
+        """Packed ids of a text that isn't taken apart."""
+        ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        split = [t.split() for t in texts]
+        whole = {k: self.whole(t) for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        split = [[] if k in whole else t.split() for k, t in enumerate(texts)]
         memo = self.memo
         new = self.learn(list(set(chain.from_iterable(split)).difference(memo)))
         long = {w for w in new if len(w) > 64}
         memo.update(new)
-        out = [b"".join(map(memo.__getitem__, words)) for words in split]
+        out = [whole[k] if k in whole else b"".join(map(memo.__getitem__, words)) for k, words in enumerate(split)]
         for word in long:  # not worth the memory
             del memo[word]
         return out
@@ -194,19 +202,21 @@ class OpenSequences:
 
 def best_fit(pieces: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length (1 to capacity). The pieces
-    are written to the shared folder first: they are counted to deal them into groups, and read again."""
-    held = _text.written(pieces)
+    are written to the shared folder first: they are counted to deal them into even groups, and read
+    again."""
+    # The number a piece is dealt by is written with it, so that it is the same whenever a task is repeated.
+    held = _text.written(pieces.withColumn("__deal", F.monotonically_increasing_id()))
     groups = max(1, -(-held.count() // group_pieces))
-    columns = held.columns
-    key = F.pmod(F.xxhash64("doc_id", "piece", "length", *[c for c in columns if c == "ids_crc32"]), F.lit(groups)).cast("long")
+    columns = pieces.columns
+    key = F.pmod(F.xxhash64("__deal"), F.lit(groups)).cast("long")
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        part = part.sort_values(["length", "doc_id", "piece", "__deal"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         sequences = OpenSequences(capacity)
         placed = [sequences.place(int(n)) for n in part["length"]]
         part["sequence_id"] = np.array([s for s, _ in placed], dtype="int64") + (int(key[0]) << 32)
         part["offset"] = np.array([o for _, o in placed], dtype="int64")
-        return part.drop(columns="pack_group")
+        return part.drop(columns=["pack_group", "__deal"])
 
     kinds = dict(held.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", sequence_id long, offset long"
