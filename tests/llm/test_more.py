@@ -3,7 +3,7 @@
 import hashlib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -20,18 +20,39 @@ def rows(frame):
     return [r.asDict() for r in frame.collect()]
 
 
-def brute_lines(docs, min_docs=3, min_tokens=5):
+def brute_lines(docs, depth=3, similarity=75, min_weight=20, short_tokens=5, short_share=0.005):
     """[(text, n_lines, n_dropped)] for [(doc_id, text)]."""
 
+    def masked(line):
+        return tuple("<*>" if re.search("[0-9@]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", line))
+
+    leaves = defaultdict(set)
+    for _, text in docs:
+        for w in map(masked, (text or "").split("\n")):
+            leaves[len(w), w[:depth]].add(w)
+    template = {}
+    for (n, lead), lines in leaves.items():
+        free = n - depth
+        if n and len(lines) > 1 and free * (100 - similarity) >= 100:
+            columns = [Counter(w[k] for w in lines).most_common(1)[0] for k in range(depth, n)]
+            fixed = {depth + k: t for k, (t, c) in enumerate(columns) if 2 * c > len(lines)}
+            for w in lines:
+                if 100 * sum(w[k] == t for k, t in fixed.items()) >= similarity * free:
+                    template[w] = ("leaf", n, lead, depth + len(fixed))
+
     def key(line):
-        tokens = ["<*>" if re.search("[0-9@]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", line)]
-        return tuple(tokens) if len(tokens) >= min_tokens else None
+        w = masked(line)
+        return template.get(w, ("line", w, len(w))) if w else None
 
-    where = defaultdict(list)
+    where = defaultdict(set)
     for d, text in docs:
         for k in {key(x) for x in (text or "").split("\n")} - {None}:
-            where[k].append(d)
-    keeper = {k: min(x for x in ids if x is not None) for k, ids in where.items() if len(ids) >= min_docs and any(x is not None for x in ids)}
+            where[k].add((d, text))
+    keeper = {}
+    for k, found in where.items():
+        n, ids = len(found), [d for d, _ in found if d is not None]
+        if n >= 2 and n * k[-1] >= min_weight and (k[-1] >= short_tokens or n >= short_share * len(docs)) and ids:
+            keeper[k] = min(ids)
     out = []
     for d, text in docs:
         if text is None:
@@ -53,16 +74,27 @@ def test_lines(spark):
 
 
 def test_lines_odd_rows(spark):
-    log = "user {} logged in from host {}"
+    log = "user {} logged in from host {} at the front door"
     docs = [(k, log.format(f"u{k}", k) + "\nown words of document number " + "xyzw"[k] * 3) for k in range(4)]
     docs += [(9, None), (10, ""), (None, log.format("u9", 9)), (1, docs[1][1]), (11, "a" * 50_000 + "\n" + log.format("q1", "z2"))]
     frame = spark.createDataFrame([(d, t, 7, "x", 8) for d, t in docs], DOC)
     got = sorted(((r["doc_id"] is None, r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in rows(lines.drop_recurring_lines(frame))), key=str)
     want = sorted(((d is None, d, *w) for (d, _), w in zip(docs, brute_lines(docs), strict=True)), key=str)
-    assert got == want
+    assert got == want and sum(w[2] for *_, w in [(0, w) for w in brute_lines(docs)]) > 3
     assert lines.drop_recurring_lines(frame.limit(0)).collect() == []
 
 
+def test_lines_of_a_template(spark):
+    names = "anna bert carl dora emil fred gina hugo".split()
+    docs = [(k, f"the daily report of {n} was sent to the board this morning\nwords of {n} alone") for k, n in enumerate(names)]
+    docs += [(20, "the daily report of the old mill says that nothing at all happened"), (21, "}"), (22, "}"), (23, "two documents hold this line of more than ten tokens here"), (24, "two documents hold this line of more than ten tokens here")]
+    docs += [(30 + k, f"some text of its own {'abcdefgh'[k % 8] * (k + 1)}") for k in range(40)]
+    frame = spark.createDataFrame([(d, t, 7, "x", 8) for d, t in docs], DOC)
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in rows(lines.drop_recurring_lines(frame))}
+    assert got == {d: w for (d, _), w in zip(docs, brute_lines(docs), strict=True)}
+    assert [got[k][2] for k in range(8)] == [0] + [1] * 7 and got[20][2] == 0 and got[22][2] == 0 and (got[23][2], got[24][2]) == (0, 1)
+
+
 def brute_spans(text):
     found = []
     for k, rule in enumerate(secrets.RULES):

@@ -1,12 +1,21 @@
-"""Line dedup by a log-template tree: a line's path in the tree is its number of tokens and its leading
-tokens, variable fields (tokens with a digit or an @) are generalised to <*>, and lines whose template
-recurs across documents are dropped, but for those of the document with the smallest id, where the
-passage stays once. DataFrame functions only.
+"""Line dedup by a log-template tree of fixed depth: a line's path is its number of tokens and its leading
+tokens, where variable fields (tokens with a digit or an @) count as <*>. A leaf has one template: at
+each further place the token that more than half of the leaf's distinct lines have there, or <*>. Lines
+that agree with it in `similarity` percent of the further places belong to the leaf's template; other lines
+are templates of their own. Lines whose template recurs across documents are dropped, but for those of
+the document with the smallest id, where the passage stays once. DataFrame functions only.
 
-Lines are \\n-split; tokens are runs of [^\\x20\\x09-\\x0D]. Lines with fewer than min_tokens tokens stay.
-A null text stays null. A document with a null id is never the one where a passage stays, unless all of
-the template's ids are null; then no line is dropped. Rows that agree in id and text fare alike and
-count as one document."""
+A template with k fixed tokens recurs if it is in two documents or more and documents times k are at least
+min_weight: long lines from two documents on, shorter ones from more. Templates with fewer than
+short_tokens fixed tokens recur by chance, so they must also be in short_share of all documents.
+
+Lines are \\n-split; tokens are runs of [^\\x20\\x09-\\x0D]; lines without any stay. A null text stays null.
+A document with a null id is never the one where a passage stays, unless all of the template's ids are
+null; then no line is dropped. Rows that agree in id and text fare alike and count as one document. Lines
+are told apart by 64-bit hashes.
+
+Texts are shuffled once, to take the dropped lines out. Lines travel as hashes; tokens are only moved for
+distinct lines of leaves that hold several."""
 
 from __future__ import annotations
 
@@ -18,11 +27,13 @@ from trackloom.llm import _text
 #: A token with a variable field. The look-behind starts it at a token's start, and the possessive
 #: quantifiers keep the search linear in long tokens.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Bound on the broadcast list of leaf buckets.
+LEAF_BUCKETS = 1 << 20
 
 
-def template_keys(text: Column, min_tokens: int, depth: int) -> Column:
-    """Each line's template: a hash of token count, leading tokens and the generalised rest; null for
-    lines that are too short. Only lines that need it go through the regular expressions."""
+def masked_lines(text: Column) -> Column:
+    """The lines with variable fields generalised, and one blank between tokens. Only lines that need it
+    go through the regular expressions."""
 
     def general(line: Column) -> Column:
         return F.when(line.rlike("[0-9@]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
@@ -30,51 +41,103 @@ def template_keys(text: Column, min_tokens: int, depth: int) -> Column:
     def spaced(line: Column) -> Column:
         return F.trim(F.when(line.rlike(r"\x20\x20|[\x09\x0B-\x0D]"), F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(line))
 
-    def key(line: Column) -> Column:
-        tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-        return F.when(tokens >= min_tokens, F.xxhash64(tokens, F.substring_index(line, " ", depth), line))
-
     # One transform after another: a lambda's argument is evaluated once, an expression at each use.
-    return F.transform(F.transform(F.transform(F.split(text, "\n"), general), spaced), key)
+    return F.transform(F.transform(F.split(text, "\n"), general), spaced)
+
+
+def token_count(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def leaf_of(line: Column, depth: int) -> Column:
+    return F.xxhash64(token_count(line), F.substring_index(line, " ", depth))
+
+
+def line_places(documents: DataFrame, depth: int) -> DataFrame:
+    """(doc_id, hash, at, key, leaf, n): each line of (doc_id, text) with tokens, its leaf and their number."""
 
+    def place(line: Column) -> Column:
+        return F.when(line != "", F.struct(F.xxhash64(line).alias("key"), leaf_of(line, depth).alias("leaf"), token_count(line).alias("n")))
 
-def line_places(documents: DataFrame, min_tokens: int, depth: int) -> DataFrame:
-    """(doc_id, hash, at, key): the template of each line of (doc_id, text) that isn't too short."""
     # explode_outer, as for explode Spark would compute the keys once more to drop empty arrays.
-    keys = F.posexplode_outer(template_keys(F.col("text"), min_tokens, depth)).alias("at", "key")
-    return documents.select("doc_id", F.xxhash64("text").alias("hash"), keys).where("key is not null")
+    places = F.posexplode_outer(F.transform(masked_lines(F.col("text")), place)).alias("at", "line")
+    return documents.select("doc_id", F.xxhash64("text").alias("hash"), places).where("line is not null").select("doc_id", "hash", "at", "line.*")
 
 
-def recurring_templates(places: DataFrame, min_docs: int) -> DataFrame:
-    """(key, keeper): templates in at least min_docs documents, and where they stay."""
+def shared_leaves(places: DataFrame, depth: int, similarity: int) -> DataFrame:
+    """(leaf, n_lines): leaves with several distinct lines, long enough that one may differ in a token."""
+    free = (F.col("n") - depth) * (100 - similarity) >= 100
+    return places.where(free).select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("n_lines")).where("n_lines > 1")
+
+
+def leaf_lines(documents: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
+    """(leaf, n_lines, key, tokens): the distinct lines of the leaves, with the tokens after the leading ones."""
+    bucket = F.pmod("leaf", F.lit(LEAF_BUCKETS)).alias("bucket")
+    some = F.broadcast(leaves.select(bucket).distinct())  # at most LEAF_BUCKETS rows
+
+    def place(line: Column) -> Column:
+        return F.when(line != "", F.struct(F.xxhash64(line).alias("key"), leaf_of(line, depth).alias("leaf"), line.alias("line")))
+
+    lines = documents.select(F.explode_outer(F.transform(masked_lines(F.col("text")), place)).alias("x")).where("x is not null").select("x.*")
+    held = lines.withColumn("bucket", bucket).join(some, "bucket", "left_semi").dropDuplicates(["key"]).join(leaves, "leaf")
+    return held.select("leaf", "n_lines", "key", F.slice(F.split("line", " "), F.lit(depth + 1), F.size(F.split("line", " "))).alias("tokens"))
+
+
+def generalised(lines: DataFrame, depth: int, similarity: int) -> DataFrame:
+    """(key, template, fixed): the lines that belong to their leaf's template, and its number of fixed tokens."""
+    at_places = lines.select("leaf", "n_lines", F.posexplode("tokens").alias("at", "token"))
+    counts = at_places.groupBy("leaf", "n_lines", "at", "token").agg(F.count("*").alias("n"))
+    fixed = counts.where(2 * F.col("n") > F.col("n_lines")).groupBy("leaf").agg(F.collect_list(F.struct("at", "token")).alias("fixed"))
+    agree = F.size(F.filter("fixed", lambda x: F.get("tokens", x["at"]) == x["token"]))
+    similar = lines.join(fixed, "leaf").where(100 * agree >= similarity * F.size("tokens"))
+    return similar.select("key", F.xxhash64("leaf", F.lit("template")).alias("template"), (F.size("fixed") + depth).alias("fixed"))
+
+
+def recurring_templates(placed: DataFrame, n_documents: int, min_weight: int, short_tokens: int, short_share: float) -> DataFrame:
+    """(template, keeper): templates that recur, and where they stay."""
+    n = F.col("n_docs")
+    often = (n >= 2) & (n * F.col("fixed") >= min_weight) & ((F.col("fixed") >= short_tokens) | (n >= short_share * n_documents))
     return (
-        places.select("key", "doc_id", "hash")
+        placed.select("template", "fixed", "doc_id", "hash")
         .distinct()
-        .groupBy("key")
+        .groupBy("template", "fixed")
         .agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("keeper"))
-        .where((F.col("n_docs") >= min_docs) & F.col("keeper").isNotNull())
-        .select("key", "keeper")
+        .where(often & F.col("keeper").isNotNull())
+        .select("template", "keeper")
     )
 
 
 def drop_recurring_lines(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_tokens: int = 5, depth: int = 3
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    depth: int = 3,
+    similarity: int = 75,
+    min_weight: int = 20,
+    short_tokens: int = 5,
+    short_share: float = 0.005,
 ) -> DataFrame:
     """The documents with the text that remains and two more columns, n_lines and n_dropped (these
-    replace columns of the same name)."""
-    places = _text.written(line_places(_text.texts_of(documents, id_col, text_col), min_tokens, depth))
-    recurring = _text.written(recurring_templates(places, min_docs))
+    replace columns of the same name). See the module for the rule and for edge cases."""
+    texts = _text.texts_of(documents, id_col, text_col)
+    places = _text.written(line_places(texts, depth))
+    leaves = _text.written(shared_leaves(places, depth, similarity))
+    lines = _text.written(leaf_lines(texts, leaves, depth))
+    general = _text.written(generalised(lines, depth, similarity))
+    placed = places.join(general, "key", "left").select(
+        "doc_id", "hash", "at", F.coalesce("template", "key").alias("template"), F.coalesce("fixed", "n").alias("fixed")
+    )
+    recurring = _text.written(recurring_templates(placed, texts.count(), min_weight, short_tokens, short_share))
     drops = (
-        places.join(recurring, "key")
+        placed.join(recurring, "template")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"))
         .agg(F.collect_set("at").alias("__drop"))
     )
     held = documents.withColumn("__text_hash", F.xxhash64(F.col(text_col)))
     same = held[id_col].eqNullSafe(drops["__id"]) & (held["__text_hash"] == drops["__hash"])
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop")), lambda at: F.get("__lines", at))
-    out = held.join(drops, same, "left").withColumn("__lines", lines)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop")), lambda at: F.get("__lines", at))
+    out = held.join(drops, same, "left").withColumn("__lines", F.split(F.col(text_col), "\n"))
     return (
         out.withColumn("n_dropped", F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size("__drop")).cast("long"))
         .withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long"))

@@ -42,9 +42,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256
 OP6 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
  l AS (SELECT r, doc_id, text, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS p FROM d),
  t AS (SELECT *, list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), lambda y: CASE WHEN regexp_matches(y, '[0-9@]') THEN '<*>' ELSE y END) AS w FROM l),
- k AS (SELECT *, CASE WHEN len(w) >= 5 THEN array_to_string(w, ' ') END AS k FROM t),
- c AS (SELECT k, min(doc_id) AS keeper FROM (SELECT DISTINCT k, doc_id, text FROM k WHERE k IS NOT NULL) GROUP BY k HAVING count(*) >= 3 AND min(doc_id) IS NOT NULL),
- m AS (SELECT k.*, c.k IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM k LEFT JOIN c USING (k)),
+ k AS (SELECT *, array_to_string(w, ' ') AS k, len(w) AS n, array_to_string(w[1:3], ' ') AS lead FROM t),
+ u AS (SELECT DISTINCT n, lead, k, w FROM k WHERE 25 * (n - 3) >= 100),
+ z AS (SELECT n, lead, count(*) AS m FROM u GROUP BY n, lead HAVING count(*) > 1),
+ a AS (SELECT n, lead, k, m, unnest(w[4:]) AS tok, unnest(range(4, n + 1)) AS i FROM u JOIN z USING (n, lead)),
+ f AS (SELECT n, lead, i, tok FROM a GROUP BY n, lead, i, tok, m HAVING 2 * count(*) > m),
+ g AS (SELECT a.n, a.lead, a.k FROM a JOIN f USING (n, lead, i, tok) GROUP BY ALL HAVING 100 * count(*) >= 75 * (a.n - 3)),
+ h AS (SELECT n, lead, 3 + count(*) AS fixed FROM f GROUP BY n, lead),
+ q AS (SELECT r, doc_id, text, x, p, CASE WHEN n = 0 THEN NULL WHEN g.k IS NULL THEN 'line ' || k ELSE 'leaf ' || n || ' ' || lead END AS tpl,
+  CASE WHEN g.k IS NULL THEN n ELSE fixed END AS fixed FROM k LEFT JOIN g USING (n, lead, k) LEFT JOIN h USING (n, lead)),
+ c AS (SELECT tpl, min(doc_id) AS keeper FROM (SELECT DISTINCT tpl, fixed, doc_id, text FROM q WHERE tpl IS NOT NULL) GROUP BY tpl, fixed
+  HAVING count(*) >= 2 AND count(*) * fixed >= 20 AND (fixed >= 5 OR count(*) >= 0.005 * (SELECT count(*) FROM documents)) AND min(doc_id) IS NOT NULL),
+ m AS (SELECT q.*, c.tpl IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM q LEFT JOIN c USING (tpl)),
  o AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(x, chr(10) ORDER BY p) FILTER (NOT gone) AS kept FROM m GROUP BY r)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (r)"""
 
