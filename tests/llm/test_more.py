@@ -133,15 +133,35 @@ def test_secret_query(spark):
     assert n > 10
 
 
-def test_secret_ledger(spark):
-    docs = spark.createDataFrame([(1, "token=abcdef"), (2, "password=qwertyu")], "doc_id long, text string")
-    findings, scanned = secrets.scan_new(docs)
-    assert findings.count() == 2 and scanned.count() == 2 * len(secrets.RULES)
-    again, pairs = secrets.scan_new(docs, scanned)
-    assert again.count() == 0 and pairs.count() == 0
-    newer = [secrets.Rule("assign", 2, secrets.BASE[0].pattern, 2, 6), *secrets.RULES[1:]]
-    again, pairs = secrets.scan_new(docs, scanned, newer)
-    assert again.count() == 2 and pairs.count() == 2
+def test_secret_ledger(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "token=abcdef"), (2, "password=qwertyu"), (3, "token=abcdef"), (4, None)], "doc_id long, text string")
+
+    def spans(frame, rules=None):
+        return {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in rows(secrets.find_secrets(frame, rules, ledger=path))}
+
+    want = {1: [("assign", 0, 12)], 2: [("assign", 0, 16)], 3: [("assign", 0, 12)], 4: []}
+    assert spans(docs) == want
+    held = secrets.read_ledger(spark, path)
+    assert held.count() == 3 and {r.rules for r in held.collect()} == {",".join(r.key for r in secrets.RULES)}
+    scanned = []
+    monkeypatch.setattr(secrets, "scan", lambda todo, rules, f=secrets.scan: scanned.append(todo.select("blob", "todo").collect()) or f(todo, rules))
+    assert spans(docs) == want and scanned.pop() == []  # the second run scans nothing
+    more = docs.unionByName(spark.createDataFrame([(5, "passwd: longenough")], docs.schema))
+    assert spans(more) == want | {5: [("assign", 0, 18)]} and len(scanned.pop()) == 1
+    newer = [secrets.Rule("assign", 2, secrets.BASE[0].pattern, 2, 7), *secrets.RULES[1:]]
+    assert spans(more, newer) == want | {1: [], 3: [], 5: [("assign", 0, 18)]}
+    assert {tuple(r.todo) for r in scanned.pop()} == {("assign@2",)}
+    assert spans(docs) == want and scanned.pop() == []
+
+
+def test_secrets_of_hot_texts(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "HOT_ROWS", 5)
+    data = [(k % 3, ["token=abcdef", "", "x passwd: longenough"][k % 3]) for k in range(90)] + [(7, "alone token=zzzzzzz"), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = Counter((r["doc_id"], len(r["spans"])) for r in rows(secrets.find_secrets(docs)))
+    assert got == {(0, 1): 30, (1, 0): 30, (2, 1): 30, (7, 1): 1, (None, 0): 1}
+    assert Counter(r["text"] for r in rows(secrets.redact_secrets(docs)))["x [assign]"] == 30
 
 
 def test_secret_redaction(spark):
