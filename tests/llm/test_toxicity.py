@@ -22,7 +22,7 @@ class Counted:
     def __init__(self, texts):
         self.n = Counter()
         for text in texts:
-            self.n.update(tox.letter_pairs([text]).tolist())
+            self.n.update(x for pairs in tox.letter_pairs([text]) for x in pairs.tolist())
 
     def toArrow(self):
         return pa.table({"pair": list(self.n.keys()), "n": list(self.n.values())})

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,8 +55,10 @@ _DISGUISED = re.compile(
     rf"[^\W\d_][{_LEET_CLASS}]+[^\W\d_]|^[{_LEET_CLASS}][^\W\d_]{{2,}}|[^\W\d_]{{2,}}[{_LEET_CLASS}]|([^\W\d_])\1\1|{_SIGN}[ ._*-]{{1,3}}[^\W\d_]|[^\W\d_][ ._*-]{{1,3}}{_SIGN}"
 )
 _SPACED = re.compile(rf"(?<!\S)(?:{_SIGN}[ ._*-]{{1,3}}){{2,}}{_SIGN}(?![^\s.,;:?!])")
-_LETTER_TABLE = np.array([c if chr(c).isalpha() and chr(c) == chr(c).lower() else 0 for c in range(LETTERS)] + [0], dtype=np.int64)
-_SCRIPT = np.searchsorted(SCRIPTS, np.arange(LETTERS), "right")
+_LETTER_TABLE = np.array([c if chr(c).isalpha() and chr(c) == chr(c).lower() else 0 for c in range(LETTERS)] + [0], dtype=np.int32)
+_SCRIPT = np.searchsorted(SCRIPTS, np.arange(LETTERS), "right").astype(np.uint8)
+#: Signs whose pairs are counted in one go.
+_STEP = 1 << 18
 
 
 def letter(sign: str) -> int:
@@ -63,15 +66,15 @@ def letter(sign: str) -> int:
     return int(_LETTER_TABLE[min(ord(sign), LETTERS)])
 
 
-def letter_pairs(texts: list[str]) -> np.ndarray:
-    """before * LETTERS + after for all neighbouring signs of lower-cased texts; a letter of another script
-    than the one before follows no letter."""
+def letter_pairs(texts: list[str]) -> Iterator[np.ndarray]:
+    """before * LETTERS + after for all neighbouring signs of lower-cased texts, step by step; a letter of
+    another script than the one before follows no letter."""
     text = " ".join(["", *texts, ""]).lower()
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
-    letters = _LETTER_TABLE[np.minimum(codes, LETTERS)]
-    before, after = letters[:-1], letters[1:]
-    before = np.where((after == 0) | (_SCRIPT[before] == _SCRIPT[after]), before, 0)
-    return before * LETTERS + after
+    for k in range(0, len(text) - 1, _STEP):
+        codes = np.frombuffer(text[k : k + _STEP + 1].encode("utf-32-le", "replace"), dtype=np.uint32)
+        letters = _LETTER_TABLE[np.minimum(codes, LETTERS)]
+        before, after = letters[:-1], letters[1:]
+        yield np.where((after == 0) | (_SCRIPT[before] == _SCRIPT[after]), before, 0) * np.int32(LETTERS) + after
 
 
 def bigram_counts(documents: DataFrame) -> DataFrame:
@@ -83,12 +86,12 @@ def bigram_counts(documents: DataFrame) -> DataFrame:
         other: Counter[int] = Counter()
         for batch in batches:
             for part in _text.slices(batch):
-                pairs = letter_pairs(_text.as_strings(part.column("text")))
-                before, after = pairs // LETTERS, pairs % LETTERS
-                plain = (before < LATIN) & (after < LATIN)
-                latin += np.bincount((before * LATIN + after)[plain], minlength=LATIN * LATIN)
-                for pair, n in zip(*map(np.ndarray.tolist, np.unique(pairs[~plain], return_counts=True)), strict=True):
-                    other[pair] += n
+                for pairs in letter_pairs(_text.as_strings(part.column("text"))):
+                    before, after = pairs // LETTERS, pairs % LETTERS
+                    plain = (before < LATIN) & (after < LATIN)
+                    latin += np.bincount((before * LATIN + after)[plain], minlength=LATIN * LATIN)
+                    for pair, n in zip(*map(np.ndarray.tolist, np.unique(pairs[~plain], return_counts=True)), strict=True):
+                        other[pair] += n
         at = np.flatnonzero(latin)
         pair = [*(at // LATIN * LETTERS + at % LATIN).tolist(), *other]
         yield pa.RecordBatch.from_pydict({"pair": pair, "n": [*latin[at].tolist(), *other.values()]}, schema=schema)
