@@ -225,6 +225,28 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.near_vectors(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embedding_ties(spark, kind):
+    """(49, 7, 7, 1) has length 50, so its cosine with the first axis is 0.98, and near it none is."""
+    data = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [49.0, 7.0, 7.0, 1.0]), (3, [49.0, 7.0, 7.0, 1.001]), (4, [98e20, 14e20, 14e20, 2e20])]
+    frame = spark.createDataFrame([(k, v, 0) for k, v in data], f"vec_id long, embedding array<{kind}>, label int")
+    got = {r["vec_id"]: r for r in rows(embeddings.near_vectors(frame, recall=0.9999999))}
+    assert got[1]["n_links"] == (2 if kind == "double" else got[1]["n_links"]) >= 1 and [got[k]["n_links"] for k in (2, 3)] == [3, 2]
+    assert {r["component_id"] for r in got.values()} == {1}
+
+
+def test_uneven_labels(spark):
+    """Labels of very different sizes, and a recall that is measured."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((400, 24))
+    data = [(k, [float(x) for x in base[k % 400] + rng.standard_normal(24) * 0.11], 0) for k in range(1200)]
+    data += [(2000 + k, [float(x) for x in base[k % 3]], k % 50 + 1) for k in range(150)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    want = sum(r[1] for r in brute_vectors([(i, lab, v) for i, v, lab in data]))
+    got = sum(r["n_links"] for r in rows(embeddings.near_vectors(frame)))
+    assert want > 500 and 0.99 * want <= got <= want
+
+
 def test_embedding_query(spark):
     table = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in rows(q.op9_embeddings(spark, SF))), key=str)
