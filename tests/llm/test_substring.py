@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from trackloom.llm import queries as q
@@ -37,9 +38,25 @@ def test_query(spark, sf):
     assert got == sorted(want, key=str) and sum(k for _, _, k, _ in want) > 0
 
 
+def test_smallest_documents(monkeypatch):
+    """Streamed past one automaton or many, each window gets the smallest document that has it."""
+    rng = random.Random(2)
+    passages = [[rng.randrange(3) for _ in range(rng.randrange(1, 14))] for _ in range(60)]
+    least = np.array([rng.randrange(40) for _ in passages], dtype=np.int64)
+    want = []
+    for p in passages:
+        for end in range(1, len(p) + 1):
+            w = p[end - 4 : end] if end >= 4 else None
+            want.append(min((d for q, d in zip(passages, least, strict=True) for k in range(len(q) - 3) if w and q[k : k + 4] == w), default=np.iinfo(np.int64).max))
+    for words in (10**6, 50, 1):
+        monkeypatch.setattr(substring, "SHARD_WORDS", words)
+        assert substring.smallest_documents(passages, least, 4).tolist() == want
+
+
 @pytest.mark.parametrize("hot", [64, 1, 0])
 def test_passages(spark, monkeypatch, hot):
     monkeypatch.setattr(substring, "HOT_GROUPS", hot)
+    monkeypatch.setattr(substring, "SHARD_WORDS", [10**6, 200, 1000][hot % 3])
     monkeypatch.setattr(substring, "GROUP_BYTES", 2000)
     rng = random.Random(9)
     word = lambda k=200: f"w{rng.randrange(k)}"

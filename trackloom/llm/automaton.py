@@ -83,3 +83,26 @@ class SuffixAutomaton:
             matched = self.length[state]
         to = self.next[state].get(token)
         return (0, 0) if to is None else (to, matched + 1)
+
+    def stream(self, sequences: Iterable[Sequence[int]]) -> tuple[list[int], list[int]]:
+        """Matching statistics of sequences, each streamed by itself: for each token, in turn, the state and
+        the length of the longest suffix up to it that the automaton's sequences contain."""
+        nexts, links, lengths = self.next, self.link, self.length
+        states: list[int] = []
+        matched: list[int] = []
+        for tokens in sequences:
+            state = size = 0
+            for token in tokens:
+                to = nexts[state].get(token)
+                while to is None and state:
+                    state = links[state]
+                    size = lengths[state]
+                    to = nexts[state].get(token)
+                if to is None:
+                    size = 0
+                else:
+                    state = to
+                    size += 1
+                states.append(state)
+                matched.append(size)
+        return states, matched

@@ -1,20 +1,23 @@
-"""Substring dedup: suffix automata of reference shards give matching statistics for streamed passages;
-windows of consecutive words that also start in a document with a smaller id are removed.
+"""Substring dedup: suffix automata of reference shards, past which passages of the documents are streamed
+for their matching statistics; windows of consecutive words that also start in a document with a
+smaller id are removed.
 
 The reference is the corpus itself, so it has no size bound that would allow a broadcast of all shards
 to all documents. Instead each window is routed to one shard by its anchor, the smallest hash among its
 short word runs: equal windows have equal anchors, and neighbouring windows mostly share one, so that
 whole passages travel together. First it is found which anchors occur in more than one document; only
-passages of such anchors travel, equal passages of a document group once. A shard builds the suffix
-automaton of its passages, whose states know the smallest document that has them, and streams the
-passages through it: the state of the last `window` words gives each window's smallest document.
-Windows of anchors that very many document groups share are routed one by one, by their own hash, so
-that no shard grows with a frequent phrase.
+passages of such anchors travel, equal passages of a document group once. The passages of a shard are
+its reference: they are dealt into automata of at most about SHARD_WORDS words, whose states know the
+smallest document that has their strings, and all passages of the shard are streamed past each automaton:
+where the statistics reach a window's length, the state of those words gives the smallest document.
+Windows of anchors that very many document groups share are routed one by one, by their own hash, and
+are put together by window before they are shuffled, so that no shard grows with a frequent phrase.
 
 Words are runs of [^\\x20\\x09-\\x0D]. A null text has no words. Rows with null ids are left whole and
 aren't referred to. Rows with equal ids don't remove words from each other. Words, anchors and
-passages are compared by 64-bit hashes to find passages; the automata compare the words themselves.
-A window is at most 62 words longer than RUN."""
+passages are compared by 64-bit hashes to find passages, and equal passages of a document group share
+the decision of the group's smallest document; the automata compare the words themselves. A window is at
+most 62 words longer than RUN."""
 
 from __future__ import annotations
 
@@ -33,6 +36,8 @@ from trackloom.llm.automaton import SuffixAutomaton
 RUN = 4
 #: Bytes of text in a document group, and in the passages of a shard, about.
 GROUP_BYTES, SHARD_BYTES = 2 << 20, 3 << 20
+#: Words of one automaton; a larger shard has several.
+SHARD_WORDS = 1_000_000
 #: Anchors of a range of the anchor count, about.
 RANGE_ANCHORS = 2_000_000
 #: Document groups that share an anchor, beyond which its windows are routed one by one.
@@ -80,58 +85,10 @@ def _slices(table: pa.Table):
             yield part.column("doc_id").to_pylist(), texts, hashes, first
 
 
-_ANCHORS = 2_000_000
-#: Document groups that share an anchor, beyond which its windows are routed one by one.
-HOT_GROUPS = 64
-_STEP = 1 << 18
-_SCALE = np.uint64(0xA24BAED4963EE407)
-_DESCALE = np.uint64(pow(int(_SCALE), -1, 1 << 64))
-
-
-def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor place: the anchors, the first windows and the ends."""
-    n = len(words) - window + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    grams = _text.gram_hashes(words, RUN)
-    width = window - RUN + 1
-    view = np.lib.stride_tricks.sliding_window_view(grams, width)
-    place = np.concatenate([view[k : k + _STEP].argmin(1) + np.arange(k, min(k + _STEP, n)) for k in range(0, n, _STEP)])
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    return grams[place[first]], first, np.append(first[1:], n)
-
-
-def pack(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as differences, byte plane by byte plane."""
-    return np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
-    return np.cumsum(steps, dtype=np.uint64)
-
-
-def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), dtype=bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
-
-
-def _documents(table: pa.Table, with_null: bool = False):
-    """(doc_id, text, word hashes) of a group's rows, in slices."""
-    for batch in table.combine_chunks().to_batches():
-        for part in _text.slices(batch):
-            texts = _text.as_bytes(part.column("text"))
-            hashes, first = _text.word_hashes(texts)
-            for k, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), texts, strict=True)):
-                if with_null or doc_id is not None:
-                    yield doc_id, text, hashes[first[k] : first[k + 1]]
-
-
 _ANCHORS = pa.schema([("part", pa.int32()), ("p", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
 _REPEATED = pa.schema([("p", pa.int32()), ("repeated", pa.binary()), ("hot", pa.binary())])
-_PASSAGES = pa.schema([("shard", pa.int32()), ("p", pa.int32()), ("key", pa.int64()), ("words", pa.binary()), ("least", pa.int64())])
-_FOUND = pa.schema([("p", pa.int32()), ("key", pa.int64()), ("mask", pa.int64())])
+_PASSAGES = pa.schema([("shard", pa.int32()), ("p", pa.int32()), ("key", pa.int64()), ("words", pa.binary()), ("least", pa.int64()), ("single", pa.bool_())])
+_FOUND = pa.schema([("p", pa.int32()), ("key", pa.int64()), ("mask", pa.int64()), ("smallest", pa.int64())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
@@ -162,31 +119,35 @@ def group_anchors(window: int, n_ranges: int):
     return run
 
 
-def repeated_anchors(table: pa.Table) -> pa.Table:
+def repeated_anchors(hot_groups: int):
     """For a range of anchors: those in more than one document, for each group that has any."""
-    groups, values, weights = [], [], []
-    for p, once, more in zip(*(table.column(c).to_pylist() for c in ("p", "once", "more")), strict=True):
-        for blob, weight in ((once, 1), (more, 2)):
-            held = unpack(blob)
-            values.append(held)
-            groups.append(np.full(len(held), p, dtype=np.int32))
-            weights.append(np.full(len(held), weight, dtype=np.int64))
-    value, group, weight = np.concatenate(values), np.concatenate(groups), np.concatenate(weights)
-    order = np.lexsort((group, value))
-    value, group, weight = value[order], group[order], weight[order]
-    starts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-    sizes = np.diff(np.append(starts, len(value)))
-    often = np.repeat(np.add.reduceat(weight, starts) > 1, sizes)
-    hot = np.repeat(sizes > HOT_GROUPS, sizes)
-    value, group, hot = value[often], group[often], hot[often]
-    order = np.lexsort((value, group))
-    value, group, hot = value[order], group[order], hot[order]
-    out: dict[str, list] = {c: [] for c in _REPEATED.names}
-    for a, b in _spans(group):
-        out["p"].append(int(group[a]))
-        out["repeated"].append(pack(value[a:b]))
-        out["hot"].append(pack(value[a:b][hot[a:b]]))
-    return pa.table(out, schema=_REPEATED)
+
+    def run(table: pa.Table) -> pa.Table:
+        groups, values, weights = [], [], []
+        for p, once, more in zip(*(table.column(c).to_pylist() for c in ("p", "once", "more")), strict=True):
+            for blob, weight in ((once, 1), (more, 2)):
+                held = unpack(blob)
+                values.append(held)
+                groups.append(np.full(len(held), p, dtype=np.int32))
+                weights.append(np.full(len(held), weight, dtype=np.int64))
+        value, group, weight = np.concatenate(values), np.concatenate(groups), np.concatenate(weights)
+        order = np.lexsort((group, value))
+        value, group, weight = value[order], group[order], weight[order]
+        starts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+        sizes = np.diff(np.append(starts, len(value)))
+        often = np.repeat(np.add.reduceat(weight, starts) > 1, sizes)
+        hot = np.repeat(sizes > hot_groups, sizes)
+        value, group, hot = value[often], group[often], hot[often]
+        order = np.lexsort((value, group))
+        value, group, hot = value[order], group[order], hot[order]
+        out: dict[str, list] = {c: [] for c in _REPEATED.names}
+        for a, b in _spans(group):
+            out["p"].append(int(group[a]))
+            out["repeated"].append(pack(value[a:b]))
+            out["hot"].append(pack(value[a:b][hot[a:b]]))
+        return pa.table(out, schema=_REPEATED)
+
+    return run
 
 
 def _spans(values: np.ndarray) -> list[tuple[int, int]]:
@@ -204,13 +165,14 @@ def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Passages:
     """Passages of a slice: the text they are in, their first and last window's word (end exclusive), a
-    hash of their words and the hash that routes them."""
+    hash of their words, the hash that routes them, and whether they are single windows of a hot anchor."""
 
     text: np.ndarray
     first: np.ndarray
     end: np.ndarray
     key: np.ndarray
     route: np.ndarray
+    single: np.ndarray
 
 
 def passages(ids: list, hashes: np.ndarray, first: np.ndarray, window: int, repeated: np.ndarray, hot: np.ndarray) -> Passages:
@@ -232,14 +194,14 @@ def passages(ids: list, hashes: np.ndarray, first: np.ndarray, window: int, repe
             parts.append((np.full(len(a), k), a, b, found, single))
     if not parts:
         none = np.empty(0, np.int64)
-        return Passages(none, none, none, none.view(np.uint64), none.view(np.uint64))
+        return Passages(none, none, none, none.view(np.uint64), none.view(np.uint64), none.astype(bool))
     text, a, b, found, single = (np.concatenate(x) for x in zip(*parts, strict=True))
     with np.errstate(over="ignore"):
         up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(hashes), _SCALE))), dtype=np.uint64)
         down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(hashes), _DESCALE))), dtype=np.uint64)
         sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * up[:-1], dtype=np.uint64)))
         key = _text.mix((sums[b + window - 1] - sums[a]) * down[a] + (b - a).astype(np.uint64))
-    return Passages(text, a, b, key, np.where(single, key, found))
+    return Passages(text, a, b, key, np.where(single, key, found), single)
 
 
 def least_by_key(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +223,7 @@ def traveling_passages(window: int, n_shards: int):
         if len(repeated) and len(documents):
             found = [(ids, texts, first, passages(ids, hashes, first, window, repeated, hot)) for ids, texts, hashes, first in _slices(documents)]
             doc = np.concatenate([np.array([ids[k] for k in p.text], dtype=np.int64) for ids, _, _, p in found])
-            key, route = (np.concatenate([getattr(p, c) for _, _, _, p in found]) for c in ("key", "route"))
+            key, route, single = (np.concatenate([getattr(p, c) for _, _, _, p in found]) for c in ("key", "route", "single"))
             chosen = np.zeros(len(key), dtype=bool)
             chosen[least_by_key(key, doc)[0]] = True
             words_of: list[bytes] = []
@@ -277,37 +239,58 @@ def traveling_passages(window: int, n_shards: int):
             out["shard"] = ((route[chosen] >> np.uint64(17)) % np.uint64(n_shards)).astype(np.int32)
             out["key"], out["words"], out["least"] = key[chosen].view(np.int64), words_of, doc[chosen]
             out["p"] = np.full(len(words_of), documents.column("p")[0].as_py(), dtype=np.int32)
+            out["single"] = single[chosen]
         return pa.table(out, schema=_PASSAGES)
 
     return run
 
 
+def smallest_documents(passages: list[list[int]], least: np.ndarray, window: int) -> np.ndarray:
+    """For each word of the passages, in turn: the smallest document that has the window ending there; the
+    largest integer for a passage's first words. The passages are dealt into automata of about
+    SHARD_WORDS words, and all of them are streamed past each."""
+    sizes = np.fromiter(map(len, passages), dtype=np.int64, count=len(passages))
+    out = np.full(int(sizes.sum()), np.iinfo(np.int64).max)
+    upto = np.cumsum(sizes)
+    first = 0
+    while first < len(passages):
+        done = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, done + SHARD_WORDS, "right")))
+        automaton = SuffixAutomaton(passages[first:last])
+        smallest = automaton.merged(np.repeat(least[first:last], sizes[first:last]), np.iinfo(np.int64).max, np.minimum)
+        states, matched = (np.array(x, dtype=np.int64) for x in automaton.stream(passages))
+        reached = matched >= window
+        windows = automaton.suffix_states(window)[states[reached]]
+        out[reached] = np.minimum(out[reached], smallest[windows])
+        first = last
+    return out
+
+
 def shard_matches(window: int):
     """For a shard: which windows of a passage also start in a smaller document than the group's own
-    smallest one with it, as bits from the first window; passages without any are left out. A
-    passage is its shard's text as well as its reference, so that the states that matching it leads
-    to are those of its prefixes."""
+    smallest one with it, as bits from the first window; passages without any are left out. For a
+    window of a hot anchor, which has no group, its smallest document."""
 
     def run(table: pa.Table) -> pa.Table:
         token: dict[bytes, int] = {}
-        words, place = np.unique(np.array(table.column("words").to_pylist(), dtype=object), return_inverse=True)
+        place_of: dict[bytes, int] = {}
+        place = np.array([place_of.setdefault(w, len(place_of)) for w in table.column("words").to_pylist()], dtype=np.int64)
         least = np.asarray(table.column("least"))
-        own = np.full(len(words), np.iinfo(np.int64).max)
+        own = np.full(len(place_of), np.iinfo(np.int64).max)
         np.minimum.at(own, place, least)
-        coded = [[token.setdefault(x, len(token)) for x in w.split(b" ")] for w in words]
+        coded = [[token.setdefault(x, len(token)) for x in w.split(b" ")] for w in place_of]
         sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-        automaton = SuffixAutomaton(coded)
-        smallest = automaton.merged(np.repeat(own, sizes), np.iinfo(np.int64).max, np.minimum)
-        states = np.array(automaton.states, dtype=np.int64)
-        by_word = smallest[automaton.suffix_states(window)[states]]  # of the window that ends at a word
+        by_word = smallest_documents(coded, own, window)
         starts = np.cumsum(sizes) - sizes
         mask = np.zeros(len(table), dtype=np.int64)
         for bit in range(int(sizes.max()) - window + 1):
             has = sizes[place] >= bit + window
             rows = np.flatnonzero(has)
             mask[rows] |= (by_word[starts[place[rows]] + bit + window - 1] < least[rows]).astype(np.int64) << bit
-        some = np.flatnonzero(mask)
-        return pa.table({"p": table.column("p").take(some), "key": table.column("key").take(some), "mask": mask[some]}, schema=_FOUND)
+        hot = np.asarray(table.column("p")) < 0
+        smallest = np.where(hot, by_word[starts[place] + window - 1], 0)
+        some = np.flatnonzero((mask != 0) | hot)
+        return pa.table({"p": table.column("p").take(some), "key": table.column("key").take(some), "mask": mask[some], "smallest": smallest[some]}, schema=_FOUND)
 
     return run
 
@@ -369,16 +352,23 @@ def drop_repeated_substrings(documents: DataFrame, window: int = 13, id_col: str
     n_groups = max(fewest, total // GROUP_BYTES)
     n_ranges = int(max(fewest, total // 30 // RANGE_ANCHORS))
     n_shards = int(max(fewest, total // SHARD_BYTES * 2))
-    grouped = texts.withColumn("p", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_groups)).cast("int"))
+    grouped = texts.withColumn("p", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int"))
     # One exchange of the texts, which all three passes read.
     n_parts = int(max(fewest, total // (8 * GROUP_BYTES)))
     grouped = grouped.select("p", "doc_id", "text").repartition(n_parts, "p")
     by_range = grouped.groupBy("p").applyInArrow(group_anchors(window, n_ranges), "part int, p int, once binary, more binary")
-    repeated = by_range.groupBy("part").applyInArrow(repeated_anchors, "p int, repeated binary, hot binary")
+    repeated = by_range.groupBy("part").applyInArrow(repeated_anchors(HOT_GROUPS), "p int, repeated binary, hot binary")
     repeated = _text.written(repeated)
-    schema = "shard int, p int, key long, words binary, least long"
+    schema = "shard int, p int, key long, words binary, least long, single boolean"
     traveling = grouped.groupBy("p").cogroup(repeated.repartition(n_parts, "p").groupBy("p")).applyInArrow(traveling_passages(window, n_shards), schema)
-    found = traveling.groupBy("shard").applyInArrow(shard_matches(window), "p int, key long, mask long")
+    traveling = _text.written(traveling)
+    # A hot window's rows are put together before they are shuffled: one row for each window, without a group.
+    hot = traveling.where("single").groupBy("shard", "key", "words").agg(F.min("least").alias("least"))
+    rows = traveling.where("not single").select("shard", "p", "key", "words", "least")
+    rows = rows.unionByName(hot.select("shard", F.lit(-1).alias("p"), "key", "words", "least"))
+    found = _text.written(rows.groupBy("shard").applyInArrow(shard_matches(window), "p int, key long, mask long, smallest long"))
+    smaller = traveling.where("single").join(found.where("p < 0").select("key", "smallest"), "key").where("smallest < least")
+    found = found.where("p >= 0").select("p", "key", "mask").unionByName(smaller.select("p", "key", F.lit(1).cast("long").alias("mask")))
     told = repeated.withColumns({"key": F.lit(None).cast("long"), "mask": F.lit(None).cast("long")}).unionByName(
         found.withColumns({"repeated": F.lit(None).cast("binary"), "hot": F.lit(None).cast("binary")})
     )
