@@ -331,8 +331,9 @@ def test_stream_equals_batch(spark):
 
 
 def test_corrections(spark):
-    log = [(1, "merge", 7, 8), (2, "merge", 7, 9), (3, "undo", 7, None), (4, "merge", 5, 6), (5, "undo", 5, None), (6, "merge", 5, 4)]
-    frame = spark.createDataFrame(log, "id long, action string, source_gid long, target_gid long")
+    log = [(1, "merge", 7, 8), (2, "merge", 7, 9), (3, "undo", None, None), (4, "merge", 5, 6), (5, "undo", None, None), (6, "merge", 5, 4)]
+    log = [("a", *r) for r in log] + [("b", 1, "undo", None, None), ("b", 7, "merge", 1, 2), ("b", 8, "undo", None, None), ("b", 9, "undo", None, None)]
+    frame = spark.createDataFrame(log, "log_id string, id long, action string, source_gid long, target_gid long")
     live = sessions.active_corrections(frame)
     assert sorted(r.id for r in live.collect()) == [1, 6]
     table = spark.createDataFrame([("a", 7), ("b", 5), ("c", 1)], "tracklet string, global_id long")

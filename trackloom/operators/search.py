@@ -94,6 +94,8 @@ def best_per_group(probes: DataFrame, gallery: DataFrame, group: str) -> DataFra
         kind = dict(gallery.dtypes)[group]
         part = gallery.select(group, "v").mapInPandas(run, f"{group} {kind}, probe_id long, best double")
         found = part if found is None else found.unionByName(part)
+    if found is None:  # no probe
+        found = gallery.sparkSession.createDataFrame([], f"{group} {dict(gallery.dtypes)[group]}, probe_id long, best double")
     return found.groupBy("probe_id", group).agg(F.max("best").alias("best"))
 
 

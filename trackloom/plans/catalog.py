@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackloom.plans import tracklet_queries, vector_queries
+from trackloom.plans import retrieval_queries, tracklet_queries, vector_queries
 from trackloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "tracklet_queries", "vector_queries"]
+__all__ = ["QUERIES", "SQL", "retrieval_queries", "tracklet_queries", "vector_queries"]

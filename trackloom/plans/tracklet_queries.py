@@ -315,10 +315,12 @@ def str03(spark, sf):
     return trackers.ground_tracks(rows)
 
 
-@query("str08_corrections", "SELECT o_custkey AS source_gid, max(o_orderkey) AS target_gid FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_custkey")
+@query("str08_corrections", "WITH RECURSIVE n AS (SELECT o_custkey AS log_id, o_orderkey AS id, o_orderkey % 3 = 0 AS undo, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders), s AS (SELECT log_id, 0::BIGINT AS k, []::BIGINT[] AS stack FROM n WHERE k = 1 UNION ALL SELECT n.log_id, n.k, CASE WHEN n.undo THEN s.stack[1:len(s.stack) - 1] ELSE list_append(s.stack, n.id) END FROM s JOIN n ON n.log_id = s.log_id AND n.k = s.k + 1), e AS (SELECT log_id, stack FROM s QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY k DESC) = 1) SELECT log_id, unnest(stack) AS id FROM e")
 def str08(spark, sf):
-    log = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("merge").alias("action"), F.col("o_custkey").alias("source_gid"), F.col("o_orderkey").alias("target_gid")).where("o_orderkey % 3 <> 0")
-    return sessions.active_corrections(log).groupBy("source_gid").agg(F.max_by("target_gid", "id").alias("target_gid"))
+    """Each customer's orders as a log; every third number is an undo."""
+    action = F.when(F.col("o_orderkey") % 3 == 0, "undo").otherwise("merge").alias("action")
+    log = table(spark, sf, "orders").select(F.col("o_custkey").alias("log_id"), F.col("o_orderkey").alias("id"), action)
+    return sessions.active_corrections(log).select("log_id", "id")
 
 
 @query("win09_smoothed")
@@ -340,9 +342,9 @@ def jn19(spark, sf):
     return R.motion_links(own, 12, 200.0, 0.5, 0.2).withColumn("score", F.round("score", 5))
 
 
-@query("fil17_query_cameras", S + ", t AS (SELECT track_id AS global_id, count(*) AS num_tracklets, list(camera_id) AS c FROM stats WHERE num_frames >= 14 GROUP BY track_id) SELECT global_id, num_tracklets FROM t WHERE list_contains(c, 'c001') AND len(list_filter(c, lambda y: y <> 'c001')) > 0")
+@query("fil17_query_cameras", S + ", t AS (SELECT track_id AS global_id, count(*) AS num_tracklets, list(camera_id) AS c FROM stats GROUP BY track_id) SELECT global_id, num_tracklets FROM t WHERE list_contains(c, 'c001') AND len(list_filter(c, lambda y: y <> 'c001')) > 0")
 def fil17(spark, sf):
-    stats = T.tracklet_stats(detections(spark, sf)).where("num_frames >= 14")
+    stats = T.tracklet_stats(detections(spark, sf))
     whole = R.assembled(stats, stats.select("camera_id", "track_id", F.col("track_id").alias("global_id")))
     return R.query_camera_trajectories(whole, ["c001"]).select("global_id", "num_tracklets")
 
@@ -357,7 +359,7 @@ def gra14(spark, sf):
 
 @query("gra15_merged_fragments")
 def gra15(spark, sf):
-    return R.merged_fragments(chopped(spark, sf), 24, 150.0)
+    return R.merged_fragments(chopped(spark, sf), 24, 0.7)
 
 
 @query("nms02_merged_points")

@@ -28,6 +28,11 @@ def _round(frame, *names, digits=6):
     return frame.withColumns({n: F.round(n, digits) for n in names})
 
 
+def entries(frame, key="index_id", digits=5):
+    """A row for each component of the vectors; negative zeros count as zero."""
+    return frame.select(key, F.posexplode("v").alias("dim", "x")).withColumn("x", F.round("x", digits) + F.lit(0.0))
+
+
 @query("win01_mutual_topk", BOTH + ", r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS place FROM both_) SELECT a.i, a.j, round(a.sim, 6) AS sim FROM r a JOIN r b ON a.i = b.j AND a.j = b.i WHERE a.place <= 5 AND b.place <= 5 AND a.i < a.j")
 def win01(spark, sf):
     return _round(simjoin.mutual_nearest(features(spark, sf), 5), "sim")
@@ -78,14 +83,14 @@ def vec03(spark, sf):
     return a.join(b, "index_id").select("index_id", F.round(V.cosine("a", "b"), 6).alias("cos"), F.round(V.squared_distance("a", "b"), 5).alias("d2"))
 
 
-@query("vec05_standardized", FT + ", l AS (SELECT index_id, camera_id, unnest(v) AS x, unnest(range(len(v))) AS dim FROM feat), s AS (SELECT camera_id, dim, avg(x) AS m, stddev_pop(x) AS s FROM l GROUP BY ALL) SELECT index_id, round(max((x - m) / (s + 1e-8)), 5) AS top FROM l JOIN s USING (camera_id, dim) GROUP BY index_id")
+@query("vec05_standardized", FT + ", l AS (SELECT index_id, camera_id, unnest(v) AS x, unnest(range(len(v))) AS dim FROM feat), s AS (SELECT camera_id, dim, avg(x) AS m, stddev_pop(x) AS s FROM l GROUP BY ALL) SELECT index_id, dim::INT AS dim, round((x - m) / (s + 1e-8), 5) + 0.0 AS x FROM l JOIN s USING (camera_id, dim)")
 def vec05(spark, sf):
-    return P.standardized_by(features(spark, sf)).select("index_id", F.round(F.array_max("v"), 5).alias("top"))
+    return entries(P.standardized_by(features(spark, sf)))
 
 
-@query("vec06_power_norm", FT + ", p AS (SELECT index_id, list_transform(v, lambda x: sign(x) * sqrt(abs(x))) AS v FROM feat) SELECT index_id, round(list_max(v) / sqrt(list_inner_product(v, v)), 6) AS top FROM p")
+@query("vec06_power_norm", FT + ", p AS (SELECT index_id, list_transform(v, lambda x: sign(x) * sqrt(abs(x))) AS v FROM feat) SELECT index_id, unnest(range(len(v)))::INT AS dim, unnest(list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 5) + 0.0)) AS x FROM p")
 def vec06(spark, sf):
-    return features(spark, sf).select("index_id", F.round(F.array_max(V.power_normalized("v", 0.5)), 6).alias("top"))
+    return entries(features(spark, sf).withColumn("v", V.power_normalized("v", 0.5)))
 
 
 @query("vec07_pca_whitened")
@@ -100,17 +105,17 @@ def vec09(spark, sf):
     return rows.select("index_id", F.round(V.norm("v"), 4).alias("length"))
 
 
-@query("vec10_cross_camera_augmented", BOTH + ", n AS (SELECT i, j, exp(sim / 0.08) AS e FROM both_ QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= 3), w AS (SELECT i, j, 0.5 * e / (sum(e) OVER (PARTITION BY i) + 1e-12) AS w FROM n), c AS (SELECT w.i AS index_id, w, v FROM w JOIN feat f ON f.index_id = w.j UNION ALL SELECT index_id, 0.5, v FROM feat WHERE index_id IN (SELECT i FROM n)), l AS (SELECT index_id, w, unnest(v) AS x, unnest(range(len(v))) AS dim FROM c), s AS (SELECT index_id, dim, sum(w * x) AS x FROM l GROUP BY ALL) SELECT index_id, round(max(x) / sqrt(sum(x * x)), 5) AS top FROM s GROUP BY index_id")
+@query("vec10_cross_camera_augmented", BOTH + ", n AS (SELECT i, j, exp(sim / 0.08) AS e FROM both_ QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= 3), w AS (SELECT i, j, 0.5 * e / (sum(e) OVER (PARTITION BY i) + 1e-12) AS w FROM n), c AS (SELECT w.i AS index_id, w, v FROM w JOIN feat f ON f.index_id = w.j UNION ALL SELECT index_id, 0.5, v FROM feat WHERE index_id IN (SELECT i FROM n)), l AS (SELECT index_id, w, unnest(v) AS x, unnest(range(len(v))) AS dim FROM c), s AS (SELECT index_id, dim, sum(w * x) AS x FROM l GROUP BY ALL) SELECT index_id, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY index_id)), 5) + 0.0 AS x FROM s")
 def vec10(spark, sf):
     rows = features(spark, sf)
     out = simjoin.cross_camera_augmented(rows, simjoin.nearest(rows, 3), 0.5, 0.08)
-    return out.select("index_id", F.round(F.array_max("v"), 5).alias("top"))
+    return entries(out)
 
 
-@query("vec12_query_expansion", BOTH + ", n AS (SELECT i, j FROM both_ QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= 3), c AS (SELECT i AS index_id, v FROM n JOIN feat f ON f.index_id = n.j UNION ALL SELECT index_id, v FROM feat), l AS (SELECT index_id, unnest(v) AS x, unnest(range(len(v))) AS dim FROM c), s AS (SELECT index_id, dim, sum(x) AS x FROM l GROUP BY ALL) SELECT index_id, round(max(x) / sqrt(sum(x * x)), 5) AS top FROM s GROUP BY index_id")
+@query("vec12_query_expansion", BOTH + ", n AS (SELECT i, j FROM both_ QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= 3), c AS (SELECT i AS index_id, v FROM n JOIN feat f ON f.index_id = n.j UNION ALL SELECT index_id, v FROM feat), l AS (SELECT index_id, unnest(v) AS x, unnest(range(len(v))) AS dim FROM c), s AS (SELECT index_id, dim, sum(x) AS x FROM l GROUP BY ALL) SELECT index_id, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY index_id)), 5) + 0.0 AS x FROM s")
 def vec12(spark, sf):
     rows = features(spark, sf)
-    return simjoin.averaged_query_expansion(rows, simjoin.nearest(rows, 3)).select("index_id", F.round(F.array_max("v"), 5).alias("top"))
+    return entries(simjoin.averaged_query_expansion(rows, simjoin.nearest(rows, 3)))
 
 
 @query("vec16_score_fusion", PR + "SELECT e.i, e.j, round(0.7 * e.sim + 0.3 * (1 - abs(e.i - e.j) / 2000.0::DOUBLE), 6) AS fused FROM edges e")
@@ -119,25 +124,33 @@ def vec16(spark, sf):
     return e.select("i", "j", F.round(0.7 * F.col("sim") + 0.3 * (1 - F.abs(F.col("i") - F.col("j")) / F.lit(2000.0)), 6).alias("fused"))
 
 
-@query("agg02_quality_pooled", FT + ", q AS (SELECT pid, v, exp(3 * ((index_id % 7) / 7.0::DOUBLE - max((index_id % 7) / 7.0::DOUBLE) OVER (PARTITION BY pid))) AS e FROM feat), w AS (SELECT pid, v, e / sum(e) OVER (PARTITION BY pid) AS w FROM q), l AS (SELECT pid, w, unnest(v) AS x, unnest(range(len(v))) AS dim FROM w), s AS (SELECT pid, dim, sum(w * x) AS x FROM l GROUP BY ALL) SELECT pid, round(max(x), 6) AS top, round(min(x), 6) AS low FROM s GROUP BY pid")
+@query("agg02_quality_pooled", FT + ", q AS (SELECT pid, v, exp(3 * ((index_id % 7) / 7.0::DOUBLE - max((index_id % 7) / 7.0::DOUBLE) OVER (PARTITION BY pid))) AS e FROM feat), w AS (SELECT pid, v, e / sum(e) OVER (PARTITION BY pid) AS w FROM q), l AS (SELECT pid, w, unnest(v) AS x, unnest(range(len(v))) AS dim FROM w), s AS (SELECT pid, dim, sum(w * x) AS x FROM l GROUP BY ALL) SELECT pid, dim::INT AS dim, round(x, 6) + 0.0 AS x FROM s")
 def agg02(spark, sf):
     rows = features(spark, sf).withColumn("quality", (F.col("index_id") % 7) / F.lit(7.0))
-    return P.quality_pooled(rows, ["pid"], 3.0, unit=False).select("pid", F.round(F.array_max("v"), 6).alias("top"), F.round(F.array_min("v"), 6).alias("low"))
+    return entries(P.quality_pooled(rows, ["pid"], 3.0, unit=False), "pid", 6)
 
 
-@query("agg04_mean_pooled", FT + ", l AS (SELECT pid, unnest(v) AS x, unnest(range(len(v))) AS dim FROM feat), s AS (SELECT pid, dim, avg(x) AS x FROM l GROUP BY ALL) SELECT pid, round(max(x) / sqrt(sum(x * x)), 6) AS top FROM s GROUP BY pid")
+@query("agg04_mean_pooled", FT + ", l AS (SELECT pid, unnest(v) AS x, unnest(range(len(v))) AS dim FROM feat), s AS (SELECT pid, dim, avg(x) AS x FROM l GROUP BY ALL) SELECT pid, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY pid)), 5) + 0.0 AS x FROM s")
 def agg04(spark, sf):
-    return P.mean_pooled(features(spark, sf), ["pid"]).select("pid", F.round(F.array_max("v"), 6).alias("top"))
+    return entries(P.mean_pooled(features(spark, sf), ["pid"]), "pid")
 
 
-@query("agg05_median_pooled", FT + ", l AS (SELECT pid, unnest(v) AS x, unnest(range(len(v))) AS dim FROM feat), s AS (SELECT pid, dim, median(x) AS x FROM l GROUP BY ALL) SELECT pid, round(max(x) / sqrt(sum(x * x)), 6) AS top FROM s GROUP BY pid")
+@query("agg05_median_pooled", FT + ", l AS (SELECT pid, unnest(v) AS x, unnest(range(len(v))) AS dim FROM feat), s AS (SELECT pid, dim, median(x) AS x FROM l GROUP BY ALL) SELECT pid, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY pid)), 5) + 0.0 AS x FROM s")
 def agg05(spark, sf):
-    return P.median_pooled(features(spark, sf), ["pid"]).select("pid", F.round(F.array_max("v"), 6).alias("top"))
+    return entries(P.median_pooled(features(spark, sf), ["pid"]), "pid")
+
 
+def _weiszfeld(rounds):
+    """SQL of the given number of rounds over unit vectors; no row is hit exactly and no step is short."""
+    sql = "u AS (SELECT pid, index_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM feat), l AS (SELECT pid, index_id, unnest(v) AS x, unnest(range(len(v))) AS dim FROM u), c0 AS (SELECT pid, dim, avg(x) AS x FROM l GROUP BY ALL)"
+    for k in range(1, rounds + 1):
+        sql += f", d{k} AS (SELECT l.pid, l.index_id, 1 / sqrt(sum((l.x - c.x) ** 2)) AS w FROM l JOIN c{k - 1} c USING (pid, dim) GROUP BY ALL), c{k} AS (SELECT l.pid, dim, sum(w * x) / sum(w) AS x FROM l JOIN d{k} USING (pid, index_id) GROUP BY ALL)"
+    return sql + f" SELECT pid, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY pid)), 5) + 0.0 AS x FROM c{rounds}"
 
-@query("agg06_geometric_median")
+
+@query("agg06_geometric_median", FT + ", " + _weiszfeld(4))
 def agg06(spark, sf):
-    return P.geometric_median(features(spark, sf), ["pid"], rounds=4).select("pid", F.round(V.norm("v"), 4).alias("length"))
+    return entries(P.geometric_median(features(spark, sf), ["pid"], rounds=4), "pid")
 
 
 @query("agg07_medoid", FT + ", u AS (SELECT pid, index_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM feat), s AS (SELECT a.pid, a.index_id, sum(list_inner_product(a.v, b.v)) AS s FROM u a JOIN u b ON a.pid = b.pid GROUP BY ALL) SELECT pid, index_id FROM s QUALIFY row_number() OVER (PARTITION BY pid ORDER BY round(s, 9) DESC, index_id) = 1")
@@ -145,9 +158,9 @@ def agg07(spark, sf):
     return P.medoid(features(spark, sf), ["pid"])
 
 
-@query("agg08_trimmed_pooled", FT + ", l AS (SELECT pid, unnest(v) AS x, unnest(range(len(v))) AS dim FROM feat), m AS (SELECT pid, list(x ORDER BY dim) AS c FROM (SELECT pid, dim, avg(x) AS x FROM l GROUP BY ALL) GROUP BY pid), r AS (SELECT f.pid, f.index_id, f.v, row_number() OVER (PARTITION BY f.pid ORDER BY list_inner_product(f.v, c) / sqrt(list_inner_product(f.v, f.v)) DESC, f.index_id) AS r, count(*) OVER (PARTITION BY f.pid) AS n FROM feat f JOIN m USING (pid)), k AS (SELECT pid, unnest(v) AS x, unnest(range(len(v))) AS dim FROM r WHERE r <= n - floor(n * 0.25)), s AS (SELECT pid, dim, avg(x) AS x FROM k GROUP BY ALL) SELECT pid, round(max(x) / sqrt(sum(x * x)), 6) AS top FROM s GROUP BY pid")
+@query("agg08_trimmed_pooled", FT + ", l AS (SELECT pid, unnest(v) AS x, unnest(range(len(v))) AS dim FROM feat), m AS (SELECT pid, list(x ORDER BY dim) AS c FROM (SELECT pid, dim, avg(x) AS x FROM l GROUP BY ALL) GROUP BY pid), r AS (SELECT f.pid, f.index_id, f.v, row_number() OVER (PARTITION BY f.pid ORDER BY list_inner_product(f.v, c) / sqrt(list_inner_product(f.v, f.v)) DESC, f.index_id) AS r, count(*) OVER (PARTITION BY f.pid) AS n FROM feat f JOIN m USING (pid)), k AS (SELECT pid, unnest(v) AS x, unnest(range(len(v))) AS dim FROM r WHERE r <= n - floor(n * 0.25)), s AS (SELECT pid, dim, avg(x) AS x FROM k GROUP BY ALL) SELECT pid, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY pid)), 5) + 0.0 AS x FROM s")
 def agg08(spark, sf):
-    return P.trimmed_pooled(features(spark, sf), ["pid"], 0.25).select("pid", F.round(F.array_max("v"), 6).alias("top"))
+    return entries(P.trimmed_pooled(features(spark, sf), ["pid"], 0.25), "pid")
 
 
 @query("sco01_temporal_overlap", SC + "SELECT i, j, CASE WHEN least(end_i, end_j) > greatest(start_i, start_j) THEN least(1.0, round((least(end_i, end_j) - greatest(start_i, start_j)) / least(end_i - start_i, end_j - start_j), 6)) ELSE 0 END AS overlap FROM timed")
@@ -444,11 +457,12 @@ def msc05(spark, sf):
     return rows.join(F.broadcast(first), "pid", "left_semi").select("index_id")  # ten rows
 
 
-@query("jn20_gallery_and_query", FT + ", u AS (SELECT camera_id, index_id FROM feat WHERE index_id % 2 = 0 UNION ALL SELECT 'query_' || camera_id, index_id FROM feat WHERE index_id % 2 = 1) SELECT camera_id, count(*) AS n FROM u GROUP BY camera_id")
+@query("jn20_gallery_and_query", FT + ", u AS (SELECT index_id, class_id, v, CASE WHEN index_id % 2 = 1 THEN 'query_' || camera_id ELSE camera_id END AS camera_id FROM feat), s AS (SELECT *, regexp_extract(camera_id, '^(S\\d+)_', 1) AS scene FROM u) SELECT a.index_id AS i, b.index_id AS j, round(list_inner_product(a.v, b.v), 6) AS sim FROM s a JOIN s b ON a.class_id = b.class_id AND a.camera_id < b.camera_id AND (a.scene = b.scene OR a.scene = '' OR b.scene = '') WHERE list_inner_product(a.v, b.v) >= 0.25")
 def jn20(spark, sf):
-    rows = features(spark, sf).select("camera_id", "index_id")
-    probes = rows.where("index_id % 2 = 1").withColumn("camera_id", F.concat(F.lit("query_"), "camera_id"))
-    return rows.where("index_id % 2 = 0").unionByName(probes).groupBy("camera_id").agg(F.count("*").alias("n"))
+    """Gallery and query rows in one join: query cameras are named apart, so a camera's own rows meet too."""
+    rows = features(spark, sf)
+    named = F.when(F.col("index_id") % 2 == 1, F.concat(F.lit("query_"), "camera_id")).otherwise(F.col("camera_id"))
+    return _round(simjoin.similar_pairs(rows.withColumn("camera_id", named), 0.25), "sim")
 
 
 @query("agg28_truth_structure", FT + ", c AS (SELECT pid, count(DISTINCT camera_id) AS n FROM feat GROUP BY pid) SELECT n AS cameras, count(*) AS ids FROM c GROUP BY n")
@@ -467,11 +481,6 @@ def gra17(spark, sf):
     return rows.withColumn("r", F.row_number().over(w.orderBy("node")) - 1).join(F.broadcast(before), "part").select("node", (F.col("before") + F.col("r")).alias("global_id"))
 
 
-@query("vec19_reranked")
-def vec19(spark, sf):
-    return _round(simjoin.reranked_all(features(spark, sf), _probes(spark, sf), 20, 6, 0.3), "distance")
-
-
 @query("agg36_rank1_agreement", PROBES + ", a AS (SELECT probe_id, index_id AS one FROM c WHERE probe_id <> index_id QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY sim DESC, index_id) = 1), h AS (SELECT p.probe_id, f.index_id, list_inner_product(p.v[1:32], f.v[1:32]) AS sim FROM p, feat f WHERE p.probe_id <> f.index_id), b AS (SELECT probe_id, index_id AS two FROM h QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY sim DESC, index_id) = 1) SELECT count(*) AS n, count(*) FILTER (one = two) AS agree FROM a JOIN b USING (probe_id)")
 def agg36(spark, sf):
     rows = features(spark, sf)
@@ -520,7 +529,22 @@ def agg20(spark, sf):
     return pairs.withColumn("bias", F.when(F.substring("cam_a", 1, 3) == F.substring("cam_b", 1, 3), 0.05).otherwise(-0.2))
 
 
-@query("win05_temporal_split")
+def _splits(rounds):
+    """SQL of the given number of cutting rounds; the last of them cut nothing in the given tables."""
+    sql = "m0 AS (SELECT index_id, pid AS cluster, (index_id % 400)::DOUBLE AS start, (index_id % 400 + 5)::DOUBLE AS stop, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM feat)"
+    for k in range(1, rounds + 1):
+        sql += (
+            f", g{k} AS (SELECT *, start - max(stop) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap, row_number() OVER w AS place FROM m{k - 1} WINDOW w AS (PARTITION BY cluster ORDER BY start, stop, index_id))"
+            f", x{k} AS (SELECT cluster, place AS cut FROM g{k} WHERE gap >= 40 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY gap DESC, place) = 1)"
+            f", s{k} AS (SELECT g.*, place >= cut AS late FROM g{k} g JOIN x{k} USING (cluster))"
+            f", a{k} AS (SELECT a.cluster FROM s{k} a JOIN s{k} b ON a.cluster = b.cluster AND NOT a.late AND b.late GROUP BY a.cluster HAVING avg(list_inner_product(a.v, b.v)) < 0.2)"
+            f", f{k} AS (SELECT cluster, min(index_id) AS fresh FROM s{k} JOIN a{k} USING (cluster) WHERE late GROUP BY cluster)"
+            f", m{k} AS (SELECT m.index_id, CASE WHEN s.late AND f.fresh IS NOT NULL THEN -1 - f.fresh ELSE m.cluster END AS cluster, m.start, m.stop, m.v FROM m{k - 1} m LEFT JOIN s{k} s USING (index_id) LEFT JOIN f{k} f ON f.cluster = m.cluster)"
+        )
+    return sql + f" SELECT index_id, cluster FROM m{rounds}"
+
+
+@query("win05_temporal_split", FT + ", " + _splits(12))
 def win05(spark, sf):
     rows = features(spark, sf).select("index_id", F.col("pid").alias("cluster"), (F.col("index_id") % 400).cast("double").alias("start"), (F.col("index_id") % 400 + 5).cast("double").alias("end"), "v")
     return trajectories.temporal_split(rows, 40.0, 0.2)
