@@ -300,20 +300,32 @@ def test_upsert_and_report(spark):
     assert {(r.id, r.x) for r in sinks.upserted(a, b, "id", "version").collect()} == {(1, "new"), (2, "kept"), (3, "more")}
 
 
-def test_tracker_follows_two_people():
-    tracker = trackers.GroundTracker(trackers.TrackerParameters())
+@pytest.mark.parametrize("kind", ["kalman", "nearest"])
+def test_tracker_follows_two_people(kind):
+    tracks = trackers.KalmanTracks(trackers.KalmanParameters()) if kind == "kalman" else trackers.NearestTracks(trackers.NearestParameters())
     seen = {}
-    for f in range(12):
+    for f in [f for f in range(12) if f != 5]:
         points = np.array([[10.0 * f, 0.0], [500.0 - 10.0 * f, 300.0]])
-        for k, (track, x, y, sure) in enumerate(tracker.update(points if f != 5 else np.empty((0, 2)))):
-            seen.setdefault(track, []).append((f, y, sure))
-    assert len(seen) == 2 and all(len({round(y / 100) for _, y, _ in rows}) == 1 and rows[-1][2] for rows in seen.values())
-
-
-def test_tracks_of_scenes_are_apart(spark):
-    rows = [(s, f, 10.0 * f + 1000 * k, 0.0) for k, s in enumerate("ab") for f in range(6)]
-    got = trackers.ground_tracks(spark.createDataFrame(rows, "scene string, frame_id long, x double, y double")).collect()
-    assert len(got) == 12 and {r.track_id for r in got} == {0}
+        for point, (track, hits) in zip(points, tracks.update(f, points), strict=True):
+            seen.setdefault(track, []).append((point[1], hits))
+    assert len(seen) == 2 and all(len({y for y, _ in rows}) == 1 and rows[-1][1] == 11 for rows in seen.values())
+
+
+@pytest.mark.parametrize("silence", [2, 3, 4])
+def test_kalman_tracks_survive_two_silent_frames(silence):
+    tracks = trackers.KalmanTracks(trackers.KalmanParameters())
+    first = [tracks.update(f, np.array([[0.0, 0.0]]))[0][0] for f in range(4)]
+    (again, _), = tracks.update(4 + silence, np.array([[0.0, 0.0]]))
+    assert set(first) == {0} and again == (0 if silence <= 2 else 1)
+
+
+@pytest.mark.parametrize("run, step", [(trackers.ground_tracks, 4), (trackers.nearest_tracks, 6)])
+def test_tracks_of_scenes_are_apart(spark, run, step):
+    rows = [(s, f, 10.0 * f + 1000 * k, 0.0) for k, s in enumerate("ab") for f in range(6)] + [("a", 5 + step + f, 50.0, 0.0) for f in range(3)] + [("b", 90, 0.0, 0.0)]
+    got = {}
+    for r in run(spark.createDataFrame(rows, "scene string, frame_id long, x double, y double")).collect():
+        got.setdefault((r.scene, r.track_id), set()).add(r.frame_id)
+    assert sorted((s, sorted(f)) for (s, _), f in got.items()) == [("a", list(range(6))), ("a", [5 + step, 6 + step, 7 + step]), ("b", list(range(6)))]
 
 
 def test_stream_equals_batch(spark):

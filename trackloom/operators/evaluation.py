@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import iou_xywh
+from trackloom.operators.components import components
 
 
 def average_precision(ranked: DataFrame) -> DataFrame:
@@ -25,12 +26,14 @@ def cmc(per_query: DataFrame, ranks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     return per_query.agg(F.avg("ap").alias("map"), *[F.avg((F.col("first_hit") <= r).cast("double")).alias(f"r{r}") for r in ranks], F.count("*").alias("n_queries"))
 
 
-def box_matches(predicted: DataFrame, truth: DataFrame, min_iou: float) -> DataFrame:
-    """(camera_id, frame_id, pred_id, gt_id, iou) of boxes in one frame that overlap enough."""
-    p = predicted.select("camera_id", "frame_id", F.col("track_id").alias("pred_id"), *[F.col(c).alias(f"p{c}") for c in "xywh"])
-    g = truth.select("camera_id", "frame_id", F.col("track_id").alias("gt_id"), *[F.col(c).alias(f"g{c}") for c in "xywh"])
+def box_matches(predicted: DataFrame, truth: DataFrame, min_iou: float, by_class: bool = False) -> DataFrame:
+    """(camera_id, frame_id, pred_id, gt_id, iou) of boxes in one frame, and of one class if asked for, that
+    overlap enough."""
+    keys = ["camera_id", "frame_id", *(["class_id"] if by_class else [])]
+    p = predicted.select(*keys, F.col("track_id").alias("pred_id"), *[F.col(c).alias(f"p{c}") for c in "xywh"])
+    g = truth.select(*keys, F.col("track_id").alias("gt_id"), *[F.col(c).alias(f"g{c}") for c in "xywh"])
     value = iou_xywh(*[F.col(f"p{c}") for c in "xywh"], *[F.col(f"g{c}") for c in "xywh"])
-    return p.join(g, ["camera_id", "frame_id"]).withColumn("iou", value).where(F.col("iou") >= min_iou).select("camera_id", "frame_id", "pred_id", "gt_id", "iou")
+    return p.join(g, keys).withColumn("iou", value).where(F.col("iou") >= min_iou).select("camera_id", "frame_id", "pred_id", "gt_id", "iou")
 
 
 def voted_identity(matches: DataFrame) -> DataFrame:
@@ -99,22 +102,59 @@ def best_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if flip else (a, b) for a, b in pairs)
 
 
+def id_components(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """pairs (keys, gt_id, pred_id, ...) with the component of ids that they tie. Assignments never reach from
+    one component into another, so components are independent groups."""
+    g, p = F.xxhash64(*keys, F.lit("g"), "gt_id"), F.xxhash64(*keys, F.lit("p"), "pred_id")
+    named = pairs.withColumns({"__g": g, "__p": p})
+    found = components(named.select(F.col("__g").alias("a"), F.col("__p").alias("b")))
+    return named.join(found, named["__g"] == found["node"]).drop("__g", "__p", "node")
+
+
+def most_in_common(overlap: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, idtp): boxes in common under the one-to-one map of ids that has most; overlap: (keys, gt_id,
+    pred_id, n)."""
+    kinds = dict(overlap.dtypes)
+
+    def assign(part: pd.DataFrame) -> pd.DataFrame:
+        table = part.pivot_table(index="pred_id", columns="gt_id", values="n", aggfunc="sum", fill_value=0).to_numpy()
+        return part.iloc[:1][keys].assign(idtp=int(sum(table[a, b] for a, b in best_assignment(-table))))
+
+    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "idtp long"
+    found = id_components(overlap, keys).groupBy(*keys, "component").applyInPandas(assign, schema)
+    return found.groupBy(*keys).agg(F.sum("idtp").alias("idtp"))
+
+
+def _identity(found: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    out = (sizes.join(found, keys, "left") if keys else sizes.withColumn("k", F.lit(1)).join(found.withColumn("k", F.lit(1)), "k", "left")).fillna(0)
+    idtp, n_pred, n_gt = F.col("idtp"), F.col("n_pred"), F.col("n_gt")
+    return out.select(*keys, "idtp", (n_pred - idtp).alias("idfp"), (n_gt - idtp).alias("idfn"), F.try_divide(2 * idtp, n_pred + n_gt).alias("idf1"))
+
+
 def identity_scores(predicted: DataFrame, truth: DataFrame, min_iou: float) -> DataFrame:
-    """(camera_id, idtp, idfp, idfn, idf1): identity F1 by the one-to-one map of ids with most boxes in
-    common. What a camera's assignment gets is its table of overlap counts between ids."""
+    """(camera_id, idtp, idfp, idfn, idf1): identity F1 of each camera by the one-to-one map of ids with most
+    boxes in common."""
     overlap = box_matches(predicted, truth, min_iou).groupBy("camera_id", "pred_id", "gt_id").agg(F.count("*").alias("n"))
     sizes = predicted.groupBy("camera_id").agg(F.count("*").alias("n_pred")).join(truth.groupBy("camera_id").agg(F.count("*").alias("n_gt")), "camera_id", "full")
+    return _identity(most_in_common(overlap, ["camera_id"]), sizes, ["camera_id"])
 
-    def assign(part: pd.DataFrame) -> pd.DataFrame:
-        table = part.pivot_table(index="pred_id", columns="gt_id", values="n", aggfunc="sum", fill_value=0).to_numpy()
-        return pd.DataFrame({"camera_id": part["camera_id"].iloc[:1], "idtp": [int(sum(table[a, b] for a, b in best_assignment(-table)))]})
-
-    found = overlap.groupBy("camera_id").applyInPandas(assign, "camera_id string, idtp long")
-    out = sizes.join(found, "camera_id", "left").fillna(0)
-    return out.select(
-        "camera_id", "idtp", (F.col("n_pred") - F.col("idtp")).alias("idfp"), (F.col("n_gt") - F.col("idtp")).alias("idfn"),
-        F.try_divide(2 * F.col("idtp"), F.col("n_pred") + F.col("n_gt")).alias("idf1"),
-    )
+
+def global_identity_scores(predicted: DataFrame, truth: DataFrame, min_iou: float) -> DataFrame:
+    """One row (idtp, idfp, idfn, idf1): as identity_scores, with one map of ids for all cameras."""
+    overlap = box_matches(predicted, truth, min_iou).groupBy("pred_id", "gt_id").agg(F.count("*").alias("n"))
+    one = F.lit(1)
+    sizes = predicted.agg(F.count("*").alias("n_pred")).withColumn("k", one).join(truth.agg(F.count("*").alias("n_gt")).withColumn("k", one), "k").drop("k")
+    found = most_in_common(overlap.withColumn("all", one), ["all"]).drop("all")
+    return _identity(found, sizes, [])
+
+
+def ablation(variants: dict[str, DataFrame]) -> DataFrame:
+    """(variant, ...): the result rows of variants of a run, one below the other."""
+    out = None
+    for name, result in variants.items():
+        row = result.select(F.lit(name).alias("variant"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def ground_scores(predicted: DataFrame, truth: DataFrame, radius: float) -> DataFrame:

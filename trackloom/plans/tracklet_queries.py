@@ -315,6 +315,12 @@ def str03(spark, sf):
     return trackers.ground_tracks(rows)
 
 
+@query("str04_nearest_tracks")
+def str04(spark, sf):
+    rows = detections(spark, sf).select(F.col("camera_id").alias("scene"), F.expr("frame_id div 12").alias("frame_id"), "x", "y")
+    return trackers.nearest_tracks(rows)
+
+
 @query("str08_corrections", "WITH RECURSIVE n AS (SELECT o_custkey AS log_id, o_orderkey AS id, o_orderkey % 3 = 0 AS undo, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders), s AS (SELECT log_id, 0::BIGINT AS k, []::BIGINT[] AS stack FROM n WHERE k = 1 UNION ALL SELECT n.log_id, n.k, CASE WHEN n.undo THEN s.stack[1:len(s.stack) - 1] ELSE list_append(s.stack, n.id) END FROM s JOIN n ON n.log_id = s.log_id AND n.k = s.k + 1), e AS (SELECT log_id, stack FROM s QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY k DESC) = 1) SELECT log_id, unnest(stack) AS id FROM e")
 def str08(spark, sf):
     """Each customer's orders as a log; every third number is an undo."""
