@@ -448,13 +448,6 @@ def test_pair_auc(spark):
     assert row.auc == pytest.approx(sum((a > b) + 0.5 * (a == b) for a in p for b in n) / (len(p) * len(n)))
 
 
-def test_expanded_clusters(spark):
-    rows = [(0, 0, "a", 0.0, 1.0), (1, 0, "b", 0.0, 1.0), (2, 2, "c", 0.0, 1.0), (3, 3, "a", 0.0, 1.0), (4, 4, "d", 0.0, 1.0), (5, 5, "e", 0.0, 1.0), (6, 6, "f", 0.0, 1.0)]
-    members = spark.createDataFrame(rows, "node long, cluster long, camera_id string, start double, end double")
-    e = edges(spark, [(1, 2, 0.9), (1, 3, 0.8), (4, 5, 0.7), (0, 6, 0.1)])
-    assert clusters(graphs.expanded_clusters(members, e, 0.5)) == [[0, 1, 2], [3], [4, 5], [6]]
-
-
 def test_linked_trajectories(spark):
     links = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (3, 4, 0.7)], "source long, target long, score double")
     cameras = spark.createDataFrame([(1, ["a"]), (2, ["b"]), (3, ["a"]), (4, ["c"]), (5, ["d"])], "node long, cameras array<string>")

@@ -134,14 +134,14 @@ def _identity(found: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
 def identity_scores(predicted: DataFrame, truth: DataFrame, min_iou: float) -> DataFrame:
     """(camera_id, idtp, idfp, idfn, idf1): identity F1 of each camera by the one-to-one map of ids with most
     boxes in common."""
-    overlap = box_matches(predicted, truth, min_iou).groupBy("camera_id", "pred_id", "gt_id").agg(F.count("*").alias("n"))
+    overlap = box_matches(predicted, truth, min_iou).groupBy("camera_id", "pred_id", "gt_id").agg(F.count_distinct("frame_id").alias("n"))
     sizes = predicted.groupBy("camera_id").agg(F.count("*").alias("n_pred")).join(truth.groupBy("camera_id").agg(F.count("*").alias("n_gt")), "camera_id", "full")
     return _identity(most_in_common(overlap, ["camera_id"]), sizes, ["camera_id"])
 
 
 def global_identity_scores(predicted: DataFrame, truth: DataFrame, min_iou: float) -> DataFrame:
     """One row (idtp, idfp, idfn, idf1): as identity_scores, with one map of ids for all cameras."""
-    overlap = box_matches(predicted, truth, min_iou).groupBy("pred_id", "gt_id").agg(F.count("*").alias("n"))
+    overlap = box_matches(predicted, truth, min_iou).groupBy("pred_id", "gt_id").agg(F.count_distinct("camera_id", "frame_id").alias("n"))
     one = F.lit(1)
     sizes = predicted.agg(F.count("*").alias("n_pred")).withColumn("k", one).join(truth.agg(F.count("*").alias("n_gt")).withColumn("k", one), "k").drop("k")
     found = most_in_common(overlap.withColumn("all", one), ["all"]).drop("all")

@@ -161,11 +161,6 @@ def top05(spark, sf):
     return T.top_per_frame(detections(spark, sf).withColumn("day", F.expr("frame_id div 24")), 5, "day").select("event_id", F.col("place").cast("long").alias("place"))
 
 
-@query("nms01_suppressed")
-def nms01(spark, sf):
-    return T.suppressed(detections(spark, sf).withColumn("day", F.expr("frame_id div 24")), 0.3, "day")
-
-
 @query("win04_largest_silence", S + ", g AS (SELECT track_id, greatest(0, start_frame - max(end_frame) OVER (PARTITION BY track_id ORDER BY start_frame, end_frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS gap FROM stats) SELECT track_id, coalesce(max(gap), 0) AS largest_gap FROM g GROUP BY track_id")
 def win04(spark, sf):
     return T.largest_silence(T.tracklet_stats(detections(spark, sf)), ["track_id"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import vectors as V
 from trackloom.functions.geometry import iou_xywh
-from trackloom.operators import evaluation, graphs, scoring, search, simjoin, trajectories
+from trackloom.operators import evaluation, expansion, graphs, scoring, search, simjoin, trajectories
 from trackloom.operators import vectors as P
 from trackloom.operators.components import components
 from trackloom.plans.registry import query
@@ -411,6 +411,29 @@ def evl02(spark, sf):
     return _round(evaluation.identity_scores(*_boxes(spark, sf), 0.3), "idf1")
 
 
+@query("evl03_global_identity_scores")
+def evl03(spark, sf):
+    return _round(evaluation.global_identity_scores(*_boxes(spark, sf), 0.3), "idf1")
+
+
+@query("evl08_class_free_matches", GT + "SELECT camera_id, count(*) AS n, round(sum(iou), 5) AS total FROM m GROUP BY camera_id")
+def evl08(spark, sf):
+    """Boxes of both sides get class 1 before they are matched by class, so classes don't matter."""
+    rows, truth = _boxes(spark, sf)
+    mine, theirs = rows.withColumn("class_id", F.lit(1)), truth.withColumn("class_id", F.lit(1))
+    return evaluation.box_matches(mine, theirs, 0.3, by_class=True).groupBy("camera_id").agg(F.count("*").alias("n"), F.round(F.sum("iou"), 5).alias("total"))
+
+
+@query("evl09_ablation", GT + "SELECT 'loose' AS variant, count(*) AS n, round(avg(iou), 6) AS mean FROM m UNION ALL SELECT 'medium', count(*), round(avg(iou), 6) FROM m WHERE iou >= 0.5 UNION ALL SELECT 'strict', count(*), round(avg(iou), 6) FROM m WHERE iou >= 0.7")
+def evl09(spark, sf):
+    rows, truth = _boxes(spark, sf)
+
+    def row(least):
+        return evaluation.box_matches(rows, truth, least).agg(F.count("*").alias("n"), F.round(F.avg("iou"), 6).alias("mean"))
+
+    return evaluation.ablation({"loose": row(0.3), "medium": row(0.5), "strict": row(0.7)})
+
+
 @query("evl05_ground_scores")
 def evl05(spark, sf):
     rows, truth = _boxes(spark, sf)
@@ -556,22 +579,37 @@ def jn04(spark, sf):
     return _round(simjoin.multi_query_pairs(rows, 0.25, 0.5), "sim")
 
 
+def _members(spark, sf):
+    """Clusters of edges from 0.3 on, with what expansion looks at; colours are the sizes of leading entries."""
+    rows = features(spark, sf).select(
+        F.col("index_id").alias("node"), "camera_id", "class_id", (F.col("index_id") % 240).cast("double").alias("start"), (F.col("index_id") % 240 + 3).cast("double").alias("end"),
+        V.normalized("v").alias("v"), V.normalized(F.transform(F.slice("v", 1, 16), lambda x: F.abs(x))).alias("color"),
+    )
+    return rows.join(graphs.threshold_clusters(rows.select("node"), edges(spark, sf).select("i", "j", "sim"), 0.3), "node")
+
+
+@query("gra05_verified_merges")
+def gra05(spark, sf):
+    return expansion.verified_merges(_nodes(spark, sf), edges(spark, sf).select("i", "j", "sim"), 0.25)
+
+
+@query("gra10_hierarchical")
+def gra10(spark, sf):
+    gates = expansion.Gates(low=0.0, high=200.0, color=0.6, size=12)
+    return expansion.hierarchically_expanded(_members(spark, sf), edges(spark, sf).select("i", "j", "sim"), 0.22, 0.2, 0.27, 0.01, gates)
+
+
 @query("gra11_expanded")
 def gra11(spark, sf):
-    nodes = _nodes(spark, sf)
-    e = edges(spark, sf).select("i", "j", "sim")
-    clusters = graphs.threshold_clusters(nodes, e, 0.3)
-    return graphs.expanded_clusters(nodes.join(clusters, "node"), e, 0.25)
+    gates = expansion.Gates(low=0.0, high=200.0, color=0.6)
+    return expansion.gallery_expanded(_members(spark, sf), edges(spark, sf).select("i", "j", "sim"), 0.26, 2, 0.25, 0.01, 8, gates)
 
 
 @query("gra13_linked_trajectories")
 def gra13(spark, sf):
     rows = chopped(spark, sf).withColumn("class_id", F.col("track_id") % 3)
     number = F.col("track_id") * 10 + F.substring("camera_id", 4, 1).cast("long")
-    own = rows.withColumn("track_id", number)
-    links = trajectories.motion_links(own, 12, 200.0, 0.5, 0.2)
-    cameras = own.groupBy(F.col("track_id").alias("node")).agg(F.array_sort(F.collect_set("camera_id")).alias("cameras"))
-    return graphs.linked_trajectories(links, cameras)
+    return trajectories.linked_until_stable(rows.withColumn("track_id", number), 12, 200.0, 0.5, 0.2)
 
 
 @query("evl04_hota_scores")
