@@ -324,7 +324,20 @@ def str08(spark, sf):
     return sessions.active_corrections(log).select("log_id", "id")
 
 
-@query("win09_smoothed")
+def _smooth_sql(window, degree):
+    """SQL of the polynomial filter, with its weights as constants."""
+    weights = "[" + ", ".join("[" + ", ".join(repr(float(x)) for x in row) + "]" for row in R.smoothing_weights(window, degree)) + "]"
+    value = "list_inner_product({c}[a + 1:a + " + str(window) + "], (" + weights + ")[k - a + 1])"
+    lists = ", ".join(f"list({v} ORDER BY frame_id, event_id) AS {c}" for c, v in (("cx", "x + w / 2"), ("cy", "y + h / 2"), ("ws", "w"), ("hs", "h")))
+    return (
+        f", r AS (SELECT *, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY frame_id, event_id) - 1 AS k, count(*) OVER (PARTITION BY camera_id, track_id) AS n FROM det), l AS (SELECT camera_id, track_id, {lists} FROM det GROUP BY ALL)"
+        f", s AS (SELECT r.*, l.cx, l.cy, l.ws, l.hs, greatest(0, least(k - {window // 2}, n - {window})) AS a FROM r JOIN l USING (camera_id, track_id))"
+        f", v AS (SELECT event_id, n, x, y, w, h, {value.format(c='cx')} AS sx, {value.format(c='cy')} AS sy, greatest(1, {value.format(c='ws')}) AS sw, greatest(1, {value.format(c='hs')}) AS sh FROM s WHERE n >= {window})"
+        f" SELECT event_id, round(sx - sw / 2, 1) AS x, round(sy - sh / 2, 1) AS y, round(sw, 1) AS w, round(sh, 1) AS h FROM v UNION ALL SELECT event_id, x, y, w, h FROM r WHERE n < {window}"
+    )
+
+
+@query("win09_smoothed", D + _smooth_sql(5, 2))
 def win09(spark, sf):
     return R.smoothed(detections(spark, sf), 5, 2).select("event_id", "x", "y", "w", "h")
 
@@ -363,7 +376,7 @@ def gra15(spark, sf):
     return R.merged_fragments(chopped(spark, sf), 24, 0.7)
 
 
-@query("nms02_merged_points")
+@query("nms02_merged_points", D.replace("WITH", "WITH RECURSIVE") + ", e AS (SELECT a.event_id AS a, b.event_id AS b FROM det a JOIN det b USING (frame_id) WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 60), w AS (SELECT event_id AS node, event_id AS reach FROM det UNION SELECT w.node, e.b FROM w JOIN e ON e.a = w.reach), g AS (SELECT node AS event_id, min(reach) AS g FROM w GROUP BY node), p AS (SELECT * FROM det JOIN g USING (event_id)), m AS (SELECT frame_id, g, track_id FROM (SELECT frame_id, g, track_id, count(*) AS n FROM p GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY frame_id, g ORDER BY n DESC, track_id) = 1), c AS (SELECT frame_id, g, avg(x) AS x, avg(y) AS y FROM p GROUP BY ALL) SELECT frame_id, track_id, round(x, 4) AS x, round(y, 4) AS y FROM m JOIN c USING (frame_id, g)")
 def nms02(spark, sf):
     rows = detections(spark, sf).select("frame_id", "track_id", "x", "y")
     return R.merged_ground_points(rows, 60.0).select("frame_id", "track_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))

@@ -268,12 +268,15 @@ def _nodes(spark, sf):
     return features(spark, sf).select(F.col("index_id").alias("node"), "camera_id", (F.col("index_id") % 24).cast("double").alias("start"), (F.col("index_id") % 24 + 3).cast("double").alias("end"))
 
 
-@query("gra03_without_weak_bridges")
+@query("gra03_without_weak_bridges", "WITH RECURSIVE " + PAIRS + ", b AS (SELECT i, j FROM edges UNION ALL SELECT j, i FROM edges), wk AS (SELECT i, j FROM edges WHERE sim < 0.27), r AS (SELECT i AS wi, j AS wj, i AS node FROM wk UNION SELECT r.wi, r.wj, b.j FROM r JOIN b ON b.i = r.node WHERE NOT (b.i = r.wi AND b.j = r.wj) AND NOT (b.i = r.wj AND b.j = r.wi)), cut AS (SELECT i, j FROM wk WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.wi = wk.i AND r.wj = wk.j AND r.node = wk.j)) SELECT e.i, e.j, round(sim, 6) AS sim FROM edges e LEFT JOIN cut ON cut.i = e.i AND cut.j = e.j WHERE cut.i IS NULL")
 def gra03(spark, sf):
     return _round(graphs.without_weak_bridges(edges(spark, sf), 0.25, 0.02), "sim")
 
 
-@query("gra04_conflict_free")
+_SPANS = "nd AS (SELECT index_id AS n, camera_id AS cam, (index_id % 24)::DOUBLE AS s, (index_id % 24 + 3)::DOUBLE AS e FROM feat)"
+
+
+@query("gra04_conflict_free", "WITH RECURSIVE " + PAIRS + f", {_SPANS}" + ", o AS (SELECT i, j, row_number() OVER (ORDER BY sim DESC, i, j) AS k FROM edges), g AS (SELECT 0::BIGINT AS k, list({'n': n, 'c': n, 'cam': cam, 's': s, 'e': e} ORDER BY n) AS st FROM nd UNION ALL SELECT q.k, CASE WHEN ci = cj OR len(list_filter(q.a, lambda x: len(list_filter(q.b, lambda y: x.cam = y.cam AND x.s <= y.e AND y.s <= x.e)) > 0)) > 0 THEN q.st ELSE list_transform(q.st, lambda x: {'n': x.n, 'c': CASE WHEN x.c = ci OR x.c = cj THEN least(ci, cj) ELSE x.c END, 'cam': x.cam, 's': x.s, 'e': x.e}) END FROM (SELECT p.*, list_filter(st, lambda x: x.c = ci) AS a, list_filter(st, lambda x: x.c = cj) AS b FROM (SELECT o.k, g.st, list_filter(g.st, lambda x: x.n = o.i)[1].c AS ci, list_filter(g.st, lambda x: x.n = o.j)[1].c AS cj FROM g JOIN o ON o.k = g.k + 1) p) q), z AS (SELECT unnest(st) AS u FROM g WHERE k = (SELECT max(k) FROM g)) SELECT u.n AS node, u.c AS cluster FROM z")
 def gra04(spark, sf):
     return graphs.conflict_free_clusters(_nodes(spark, sf), edges(spark, sf), 0.25)
 
@@ -288,7 +291,7 @@ def gra08(spark, sf):
     return graphs.capped_clusters(_nodes(spark, sf), edges(spark, sf), 0.25, 8)
 
 
-@query("gra09_coloured")
+@query("gra09_coloured", "WITH RECURSIVE " + PAIRS + f", {_SPANS}" + ", b AS (SELECT i, j FROM edges UNION SELECT j, i FROM edges), w AS (SELECT n AS node, n AS reach FROM nd UNION SELECT w.node, b.j FROM w JOIN b ON w.reach = b.i), c AS (SELECT node, min(reach) AS cluster FROM w GROUP BY node), o AS (SELECT node, cluster, cam, s, e, row_number() OVER (PARTITION BY cluster ORDER BY node % 5 DESC, node) AS r FROM c JOIN nd ON nd.n = c.node), h AS (SELECT cluster, r, [{'n': node, 'p': 0::BIGINT, 'cam': cam, 's': s, 'e': e}] AS held FROM o WHERE r = 1 UNION ALL SELECT o.cluster, o.r, list_append(h.held, {'n': o.node, 'p': list_min(list_filter(range(0, len(h.held) + 1), lambda k: len(list_filter(h.held, lambda x: x.p = k AND x.cam = o.cam AND x.s <= o.e AND o.s <= x.e)) = 0)), 'cam': o.cam, 's': o.s, 'e': o.e}) FROM h JOIN o ON o.cluster = h.cluster AND o.r = h.r + 1), f AS (SELECT cluster, held FROM h QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY r DESC) = 1), z AS (SELECT cluster, unnest(held) AS u FROM f) SELECT u.n AS node, cluster, u.p AS part FROM z")
 def gra09(spark, sf):
     nodes = _nodes(spark, sf)
     clusters = graphs.threshold_clusters(nodes, edges(spark, sf), 0.25)

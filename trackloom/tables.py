@@ -14,7 +14,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(frame: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the shared folder; survives lost executors."""
+    """The frame as a Parquet table in the shared folder; survives lost executors. Packed tightly, as such
+    tables are read once or twice and the folder is shared."""
     path = scratch_dir(frame.sparkSession)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression="zstd")
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
