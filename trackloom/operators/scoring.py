@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.components import components
+from trackloom.tables import written
+
 
 def temporal_overlap(start_i, end_i, start_j, end_j) -> Column:
     """Common time over the shorter duration, in [0, 1]; 0 where there is none."""
@@ -163,3 +166,16 @@ def merged_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
 def alert_level(similarity: Column, confidence: Column) -> Column:
     score = similarity * confidence
     return F.when(score >= 0.60, "HIGH").when(score >= 0.40, "MEDIUM").otherwise("LOW")
+
+
+def iterated_bias(pairs: DataFrame, threshold: float, rounds: int, min_rows: int = 3) -> DataFrame:
+    """Pairs (i, j, score, camera_i, camera_j) after rounds of clustering from the threshold on, learning each pair
+    of cameras' bias from pairs inside clusters, and adjusting all scores by it."""
+    now = pairs
+    for _ in range(rounds):
+        kept = now.where(F.col("score") >= threshold)
+        found = components(kept.select(F.col("i").alias("a"), F.col("j").alias("b")))
+        a, b = found.toDF("i", "part"), found.toDF("j", "other")
+        inside = now.join(a, "i").join(b, "j").where("part = other").drop("part", "other")
+        now = written(bias_adjusted(now, camera_bias(inside, min_rows)).select(*pairs.columns))
+    return now

@@ -193,3 +193,23 @@ def prj12(spark, sf):
 @query("snk15_first_boxes", D + "SELECT camera_id, track_id, x, y, w, h FROM det QUALIFY row_number() OVER (PARTITION BY camera_id, track_id ORDER BY frame_id, event_id) = 1")
 def snk15(spark, sf):
     return B.first_boxes(detections(spark, sf))
+
+
+def _people(spark, sf):
+    """Per-frame JSON of people: a person's first entry counts; views of negative or empty boxes don't."""
+    view = F.struct((F.col("event_id") % 3).cast("int").alias("viewNum"), (F.col("x") - 20).alias("xmin"), F.col("y").alias("ymin"), (F.col("x") - 20 + F.when(F.col("event_id") % 7 == 0, 0.0).otherwise(F.col("w"))).alias("xmax"), (F.col("y") + F.col("h")).alias("ymax"))
+    person = F.struct(F.col("event_id").alias("order"), F.col("track_id").alias("personID"), (F.col("event_id") % 100_000).alias("positionID"), F.array(view).alias("views"))
+    return detections(spark, sf).groupBy("frame_id").agg(F.to_json(F.array_sort(F.collect_list(person))).alias("value"))
+
+
+_FIRST = D + ", v AS (SELECT *, x - 20 AS xa, CASE WHEN event_id % 7 = 0 THEN x - 20 ELSE x - 20 + w END AS xb FROM det) "
+
+
+@query("src18_ground_truth", _FIRST + "SELECT frame_id, track_id AS person_id, -300 + (event_id % 100000 % 480) * 2.5::DOUBLE AS x_cm, -900 + floor(event_id % 100000 / 480) * 2.5::DOUBLE AS y_cm FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY frame_id, track_id ORDER BY event_id) = 1) WHERE xa >= 0 AND xb > xa")
+def src18(spark, sf):
+    return tracking.ground_truth(_people(spark, sf))
+
+
+@query("src08_ground_views", _FIRST + "SELECT frame_id, track_id, 'C' || (event_id % 3 + 1) AS camera_id, xa AS xmin, y AS ymin, xb AS xmax, y + h AS ymax FROM v WHERE xa >= 0 AND y >= 0 AND xb > xa")
+def src08(spark, sf):
+    return tracking.ground_views(_people(spark, sf))

@@ -318,3 +318,32 @@ def msc03(spark, sf):
 @query("msc13_summary_text", S + "SELECT '' AS place, count(*) || ' tracklets in ' || count(DISTINCT camera_id) || ' cameras, ' || sum(num_frames)::BIGINT || ' boxes' AS line FROM stats UNION ALL SELECT camera_id, camera_id || ': ' || count(*) || ' tracklets, ' || sum(num_frames)::BIGINT || ' boxes' FROM stats GROUP BY camera_id")
 def msc13(spark, sf):
     return B.summary_lines(T.tracklet_stats(detections(spark, sf)))
+
+
+def _bias_rounds(n):
+    sql = "s0 AS (SELECT i, j, sim AS score, least(camera_i, camera_j) AS ca, greatest(camera_i, camera_j) AS cb FROM edges)"
+    for k in range(n):
+        sql += (
+            f", b{k} AS (SELECT i, j FROM s{k} WHERE score >= 0.28 UNION SELECT j, i FROM s{k} WHERE score >= 0.28)"
+            f", w{k} AS (SELECT i AS node, i AS reach FROM b{k} UNION SELECT w{k}.node, b{k}.j FROM w{k} JOIN b{k} ON w{k}.reach = b{k}.i), c{k} AS (SELECT node, min(reach) AS c FROM w{k} GROUP BY node)"
+            f", l{k} AS (SELECT ca, cb, median(score) AS bias FROM s{k} JOIN c{k} x ON x.node = i JOIN c{k} y ON y.node = j AND x.c = y.c GROUP BY ca, cb HAVING count(*) >= 3)"
+            f", s{k + 1} AS (SELECT i, j, CASE WHEN bias > 0 THEN greatest(0, least(1, score + (SELECT avg(bias) FROM l{k}) - bias)) ELSE score END AS score, ca, cb FROM s{k} LEFT JOIN l{k} USING (ca, cb))"
+        )
+    return sql + f" SELECT i, j, round(score, 6) AS score FROM s{n}"
+
+
+@query("sco08_iterated_bias", "WITH RECURSIVE " + PAIRS + ", " + _bias_rounds(2))
+def sco08(spark, sf):
+    from trackloom.operators import scoring
+
+    rows = edges(spark, sf).select("i", "j", F.col("sim").alias("score"), "camera_i", "camera_j")
+    return _round(scoring.iterated_bias(rows, 0.28, 2), "score").select("i", "j", "score")
+
+
+@query("gra16_merged_ids", "WITH RECURSIVE " + STATS.replace("det AS", "det AS", 1) + ", m AS (SELECT DISTINCT track_id AS a, track_id // 2 AS b FROM stats WHERE track_id % 5 = 0), l AS (SELECT a, b FROM m UNION SELECT b, a FROM m), w AS (SELECT a AS node, a AS reach FROM l UNION SELECT w.node, l.b FROM w JOIN l ON l.a = w.reach), c AS (SELECT node, min(reach) AS c FROM w GROUP BY node) SELECT camera_id, track_id, coalesce(c, track_id) AS global_id FROM stats LEFT JOIN c ON c.node = track_id")
+def gra16(spark, sf):
+    from trackloom.streaming import sessions
+
+    stats = T.tracklet_stats(detections(spark, sf)).select("camera_id", "track_id", F.col("track_id").alias("global_id"))
+    merges = stats.where("track_id % 5 = 0").select(F.col("track_id").alias("source_gid"), F.expr("track_id div 2").alias("target_gid")).distinct()
+    return sessions.merged_ids(stats, merges)

@@ -221,3 +221,18 @@ def agg13(spark, sf):
 @query("agg34_mean_pair_cosine", FT + ", u AS (SELECT pid, index_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM feat) SELECT a.pid, round(avg(list_inner_product(a.v, b.v)), 6) AS mean, count(*) AS pairs FROM u a JOIN u b ON a.pid = b.pid AND a.index_id < b.index_id GROUP BY a.pid")
 def agg34(spark, sf):
     return _round(P.mean_pair_cosine(features(spark, sf), ["pid"]), "mean")
+
+
+@query("set03_shared_neighbours", PR + ", a AS (SELECT x.index_id AS i, y.index_id AS j, list_inner_product(x.v, y.v) AS sim FROM feat x, feat y), k AS (SELECT i, j FROM a QUALIFY row_number() OVER (PARTITION BY i ORDER BY i <> j, sim DESC, j) <= 10), s AS (SELECT i, list(j) AS l FROM k GROUP BY i) SELECT e.i, e.j, len(list_intersect(a.l, b.l))::INT AS both, len(list_distinct(list_concat(a.l, b.l)))::INT AS either FROM edges e JOIN s a ON a.i = e.i JOIN s b ON b.i = e.j")
+def set03(spark, sf):
+    return retrieval.shared_neighbours(edges(spark, sf).select("i", "j"), retrieval.neighbour_sets(features(spark, sf), 10))
+
+
+@query("msc10_blended_scores", _HALVES + "SELECT probe_id, index_id, round(0.6 * b + 0.4 * a, 6) AS sim FROM m")
+def msc10(spark, sf):
+    """Scores of two spaces, 0.6 of the second and 0.4 of the first."""
+    rows = features(spark, sf)
+    short = rows.withColumn("v", F.slice("v", 1, 32))
+    a, b = (search.all_matches(r.where("index_id % 50 = 0"), r) for r in (rows, short))
+    both = a.join(b.withColumnRenamed("sim", "other"), ["probe_id", "index_id"])
+    return both.select("probe_id", "index_id", F.round(0.6 * F.col("other") + 0.4 * F.col("sim"), 6).alias("sim"))

@@ -58,22 +58,36 @@ def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each person and frame of per-frame JSON files, on the ground plane: the frame is the
-    file's number."""
-    people = "array<struct<personID:bigint,positionID:bigint,views:array<struct<viewNum:int,xmin:double,ymin:double,xmax:double,ymax:double>>>>"
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", people).alias("p"), F.regexp_extract("_metadata.file_name", r"(\d+)", 1).cast("long").alias("frame_id"))
-    rows = raw.select("frame_id", F.posexplode("p").alias("at", "p"))
+_PEOPLE = "array<struct<personID:bigint,positionID:bigint,views:array<struct<viewNum:int,xmin:double,ymin:double,xmax:double,ymax:double>>>>"
+
+
+def frame_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(frame_id, value): texts of per-frame files; the frame is the number in a file's name."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"(\d+)", 1).cast("long").alias("frame_id"), "value")
+
+
+def ground_truth(texts: DataFrame) -> DataFrame:
+    """(frame_id, person_id, x_cm, y_cm) of per-frame JSON (frame_id, value): of several entries of a person the
+    first, and only people whom a camera sees."""
+    rows = texts.select("frame_id", F.posexplode(F.from_json("value", _PEOPLE)).alias("at", "p"))
     first = rows.groupBy("frame_id", F.col("p.personID").alias("person_id")).agg(F.min_by("p", "at").alias("p"))
     x, y = grid_to_cm(F.col("p.positionID"))
     visible = F.exists("p.views", lambda v: (v["xmin"] >= 0) & (v["xmax"] > v["xmin"]) & (v["ymax"] > v["ymin"]))
     return first.where(visible).select("frame_id", "person_id", x.alias("x_cm"), y.alias("y_cm"))
 
 
-def read_ground_views(spark: SparkSession, path: str) -> DataFrame:
-    """Boxes of per-frame JSON files, one row for each valid view; camera C1 is view 0."""
-    people = "array<struct<personID:bigint,positionID:bigint,views:array<struct<viewNum:int,xmin:double,ymin:double,xmax:double,ymax:double>>>>"
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", people).alias("p"), F.regexp_extract("_metadata.file_name", r"(\d+)", 1).cast("long").alias("frame_id"))
-    rows = raw.select("frame_id", F.explode("p").alias("p")).select("frame_id", F.col("p.personID").alias("track_id"), F.explode("p.views").alias("v"))
+def ground_views(texts: DataFrame) -> DataFrame:
+    """Boxes of per-frame JSON (frame_id, value), one row for each valid view; camera C1 is view 0."""
+    rows = texts.select("frame_id", F.explode(F.from_json("value", _PEOPLE)).alias("p")).select("frame_id", F.col("p.personID").alias("track_id"), F.explode("p.views").alias("v"))
     ok = (F.col("v.xmin") >= 0) & (F.col("v.ymin") >= 0) & (F.col("v.xmax") > F.col("v.xmin")) & (F.col("v.ymax") > F.col("v.ymin"))
     return rows.where(ok).select("frame_id", "track_id", F.concat(F.lit("C"), F.col("v.viewNum") + 1).alias("camera_id"), "v.xmin", "v.ymin", "v.xmax", "v.ymax")
+
+
+def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """People on the ground plane of per-frame JSON files."""
+    return ground_truth(frame_texts(spark, path))
+
+
+def read_ground_views(spark: SparkSession, path: str) -> DataFrame:
+    """Boxes of per-frame JSON files."""
+    return ground_views(frame_texts(spark, path))
