@@ -27,8 +27,8 @@ from trackloom.llm import _text
 #: A token with a variable field. The look-behind starts it at a token's start, and the possessive
 #: quantifiers keep the search linear in long tokens.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Bound on the broadcast list of leaf buckets.
-LEAF_BUCKETS = 1 << 20
+#: Bound on the broadcast list of leaf buckets, and lines of a leaf that a task holds against its template, about.
+LEAF_BUCKETS, LEAF_LINES = 1 << 20, 1_000
 
 
 def masked_lines(text: Column) -> Column:
@@ -87,9 +87,13 @@ def generalised(lines: DataFrame, depth: int, similarity: int) -> DataFrame:
     """(key, template, fixed): the lines that belong to their leaf's template, and its number of fixed tokens."""
     at_places = lines.select("leaf", "n_lines", F.posexplode("tokens").alias("at", "token"))
     counts = at_places.groupBy("leaf", "n_lines", "at", "token").agg(F.count("*").alias("n"))
-    fixed = counts.where(2 * F.col("n") > F.col("n_lines")).groupBy("leaf").agg(F.collect_list(F.struct("at", "token")).alias("fixed"))
+    fixed = counts.where(2 * F.col("n") > F.col("n_lines")).groupBy("leaf", "n_lines").agg(F.collect_list(F.struct("at", "token")).alias("fixed"))
+    # Lines of a large leaf are dealt to several tasks, and its template is repeated for each.
+    deals = F.ceil(F.col("n_lines") / LEAF_LINES).cast("int")
+    dealt = lines.withColumn("deal", F.pmod("key", deals).cast("int"))
+    spread = fixed.select("leaf", "fixed", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
     agree = F.size(F.filter("fixed", lambda x: F.get("tokens", x["at"]) == x["token"]))
-    similar = lines.join(fixed, "leaf").where(100 * agree >= similarity * F.size("tokens"))
+    similar = dealt.join(spread, ["leaf", "deal"]).where(100 * agree >= similarity * F.size("tokens"))
     return similar.select("key", F.xxhash64("leaf", F.lit("template")).alias("template"), (F.size("fixed") + depth).alias("fixed"))
 
 
