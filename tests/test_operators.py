@@ -14,7 +14,7 @@ from trackloom.operators import evaluation, graphs, scoring, search, simjoin, tr
 from trackloom.operators import tracklets as T
 from trackloom.operators import vectors as P
 from trackloom.operators.components import components
-from trackloom.plans import vector_queries
+from trackloom.plans import retrieval_queries, vector_queries
 from trackloom.sinks import tracking as sinks
 from trackloom.sources import tracking as sources
 from trackloom.streaming import sessions, trackers
@@ -187,7 +187,8 @@ def features(spark, n=60, d=8, cameras=3):
 def test_blocks_don_t_change_pairs(spark, monkeypatch):
     m, rows = features(spark)
     want = {(i, j) for i in range(60) for j in range(60) if i % 3 < j % 3 and i % 2 == j % 2 and m[i] @ m[j] >= 0.3}
-    for block in (512, 7):
+    for small, block in ((simjoin.SMALL, 512), (0, 512), (0, 7)):  # the broadcast way, one block, many blocks
+        monkeypatch.setattr(simjoin, "SMALL", small)
         monkeypatch.setattr(simjoin.block_pairs, "__defaults__", (block,))
         assert {(r.i, r.j) for r in simjoin.similar_pairs(rows, 0.3).collect()} == want
         near = {(r.i, r.j) for r in simjoin.nearest(rows, 2).collect()}
@@ -197,7 +198,9 @@ def test_blocks_don_t_change_pairs(spark, monkeypatch):
         assert len(near) == 120
 
 
-def test_rows_without_scene_meet_all(spark):
+@pytest.mark.parametrize("small", [simjoin.SMALL, 0])
+def test_rows_without_scene_meet_all(spark, monkeypatch, small):
+    monkeypatch.setattr(simjoin, "SMALL", small)
     v = [1.0, 0.0]
     rows = spark.createDataFrame([(0, "S01_a", 0, v), (1, "S02_b", 0, v), (2, "q", 0, v), (3, "r", 0, v)], "index_id long, camera_id string, class_id int, v array<double>")
     assert sorted((r.i, r.j) for r in simjoin.similar_pairs(rows, 0.5).collect()) == [(0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
@@ -216,10 +219,11 @@ def test_pools(spark):
     m, rows = features(spark)
     (row,) = P.geometric_median(rows.where("index_id < 9").withColumn("g", F.lit(1)), ["g"], rounds=12).collect()
 
-    def far(c):
-        return np.linalg.norm(m[:9] - c, axis=1).sum()
-
-    assert far(np.array(row.v)) <= far(m[:9].mean(0)) + 1e-9
+    centre = m[:9].mean(0)
+    for _ in range(12):
+        w = 1 / np.linalg.norm(m[:9] - centre, axis=1)
+        centre = w @ m[:9] / w.sum()
+    assert np.allclose(row.v, centre / np.linalg.norm(centre), atol=1e-9)
     assert P.medoid(rows.withColumn("g", F.lit(1)), ["g"]).first().index_id == int((m @ m.sum(0)).argmax())
 
 
@@ -402,7 +406,7 @@ def test_reranking_of_all_rows(spark):
 def test_reranked_query_scores_every_row(spark):
     sf = "/root/testdata/sf0.001"
     rows = vector_queries.features(spark, sf)
-    got = [(r.i, r.j) for r in vector_queries.vec19(spark, sf).collect()]
+    got = [(r.i, r.j) for r in retrieval_queries.vec19(spark, sf).collect()]
     ids = [r.index_id for r in rows.select("index_id").collect()]
     assert sorted(got) == sorted((i, j) for i in ids if i % 50 == 0 for j in ids if i != j)
 
