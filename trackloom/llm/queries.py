@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, embeddings, jaccard, licenses, lines, packing, quality, secrets, sql, substring, toxicity
+from trackloom.llm import bpe, collocations, embeddings, fingerprints, jaccard, licenses, lines, merkle, packing, quality, secrets, sql, substring, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -94,8 +94,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, checked against leaves of which a third were tampered with."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.leaf_digest([merkle.lower_ascii(F.col(c)) if c == "text" else F.col(c) for c in fields])
+    changed = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
+    claimed = F.when(changed, tampered).otherwise(merkle.leaf_digest([F.col(c) for c in fields]))
+    found = merkle.merkle_manifest(_documents(spark, sf_dir), fields, claims={"claimed": claimed})
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.folded(F.col("claimed"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and their likeness."""
+    return fingerprints.compare_edits(_documents(spark, sf_dir))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best pairs and triples of each language."""
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_licenses, op2_quality, op3_bpe, op4_jaccard, op5_substrings, op6_lines, op7_secrets, op8_packing, op9_embeddings, op10_toxicity)
+    listed = (op1_licenses, op2_quality, op3_bpe, op4_jaccard, op5_substrings, op6_lines, op7_secrets, op8_packing, op9_embeddings, op10_toxicity, op11_merkle, op12_fingerprints, op13_collocations)
     return {f.__name__: f for f in listed}
 
 

@@ -83,4 +83,43 @@ OP9 = """WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, vec_id, label, l
  n AS (SELECT a AS r, count(*) AS n FROM e GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN m USING (r) LEFT JOIN n USING (r)"""
 
-ORACLES = {"op2_quality": OP2, "op4_jaccard": OP4, "op5_substrings": OP5, "op6_lines": OP6, "op7_secrets": _op7(), "op9_embeddings": OP9}
+#: sha256 of the fields, crc32 by shifting 8 times for each digit, and the levels of all trees; -1 in the top tree.
+OP11 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, *, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT] || [-1::BIGINT for i in range(8)]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS crc FROM documents),
+ h AS (SELECT r, doc_id, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS tree, {'{fields}'} AS head, text AS t, CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}') ELSE text END AS u FROM d),
+ l AS (SELECT r, doc_id, tree, sha256(head || CASE WHEN t IS NULL THEN '-' ELSE strlen(t) || ':' || t END) AS leaf, sha256(head || CASE WHEN u IS NULL THEN '-' ELSE strlen(u) || ':' || u END) AS claim FROM h),
+ p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+ v AS (SELECT tree, 0 AS level, pos, n, leaf AS digest FROM p UNION ALL
+  SELECT tree, level + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY pos)) FROM v WHERE n > 1 GROUP BY tree, level, pos // 8),
+ s AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM v WHERE n = 1),
+ w AS (SELECT 0 AS level, pos, n, subroot AS digest FROM s UNION ALL SELECT level + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY pos)) FROM w WHERE n > 1 GROUP BY level, pos // 8),
+ root AS (SELECT digest AS root FROM w WHERE n = 1),
+ x AS (SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lft, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS rgt
+  FROM v a JOIN v b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL),
+ y AS (SELECT a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lft, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS rgt
+  FROM w a JOIN w b ON a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL),
+ f AS (SELECT r, tree, 0 AS level, pos, claim AS digest, '' AS proof FROM p UNION ALL
+  SELECT f.r, f.tree, f.level + 1, f.pos // 8, sha256(lft || f.digest || rgt), f.proof || lft || rgt FROM f JOIN x ON f.tree = x.tree AND f.level = x.level AND f.pos = x.pos),
+ g AS (SELECT f.r, 0 AS level, s.pos, f.digest, f.proof FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY r ORDER BY level DESC) = 1) f JOIN s USING (tree) UNION ALL
+  SELECT g.r, g.level + 1, g.pos // 8, sha256(lft || g.digest || rgt), g.proof || lft || rgt FROM g JOIN y ON g.level = y.level AND g.pos = y.pos),
+ o AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY r ORDER BY level DESC) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified FROM p JOIN s USING (tree) JOIN o USING (r), root""".replace(
+    "{fields}", " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars"))
+)
+
+OP13 = rf"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[.,;:!?
+-
+]') AS pieces FROM documents),
+ p AS MATERIALIZED (SELECT lang, regexp_extract_all(unnest(pieces), '[^ 	]+') AS w FROM d),
+ g AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 4) t(k) WHERE len(w) >= k)),
+ f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+ n AS MATERIALIZED (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+ c AS MATERIALIZED (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+ e AS MATERIALIZED (SELECT *, array_to_string(w[:c1], ' ') AS head, array_to_string(w[c1 + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS c1 FROM c)),
+ u AS MATERIALIZED (SELECT e.*, x.f AS l, y.f AS r, (1000000 * a::HUGEINT * a) // (x.f::HUGEINT * y.f) AS score FROM e JOIN f x ON x.lang = e.lang AND x.phrase = e.head JOIN f y ON y.lang = e.lang AND y.phrase = e.tail),
+ b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c1) = 1),
+ m AS MATERIALIZED (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+ o AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN m USING (lang, phrase) WHERE k = 3 OR most IS NULL OR 100 * most < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
+
+ORACLES = {"op2_quality": OP2, "op4_jaccard": OP4, "op5_substrings": OP5, "op6_lines": OP6, "op7_secrets": _op7(), "op9_embeddings": OP9, "op11_merkle": OP11, "op13_collocations": OP13}
