@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import vectors as V
 from trackloom.functions.geometry import iou_xywh
-from trackloom.operators import evaluation, expansion, graphs, scoring, search, simjoin, trajectories
+from trackloom.operators import communities, evaluation, expansion, graphs, scoring, search, simjoin, trajectories
 from trackloom.operators import vectors as P
 from trackloom.operators.components import components
 from trackloom.plans.registry import query
@@ -281,6 +281,11 @@ def gra04(spark, sf):
     return graphs.conflict_free_clusters(_nodes(spark, sf), edges(spark, sf), 0.25)
 
 
+@query("gra06_communities")
+def gra06(spark, sf):
+    return communities.louvain_clusters(_nodes(spark, sf), edges(spark, sf), 0.25)
+
+
 @query("gra07_complete_linkage")
 def gra07(spark, sf):
     return graphs.complete_linkage_clusters(_nodes(spark, sf), edges(spark, sf), 0.25)
