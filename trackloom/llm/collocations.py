@@ -34,8 +34,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from trackloom.llm import _text
 
 LONGEST = 3
-#: Text that a task hashes at once, in bytes.
-SLICE = 16 << 20
+#: Text that a task hashes at once, in bytes; its arrays take about 25 times as much.
+SLICE = 4 << 20
 #: Bits of the table of frequent words and pairs (16 MB), sent to the driver in words of WORD bits.
 TABLE_BITS, WORD = 1 << 27, 32
 #: Parts that each language's candidates are dealt to when the best are chosen, step by step.
