@@ -220,10 +220,10 @@ def win14(spark, sf):
     return B.stratified_crops(crops, 6).withColumn("place", F.col("place").cast("long"))
 
 
-@query("win16_drawn_frames", D + ", u AS (SELECT * FROM det QUALIFY row_number() OVER (PARTITION BY camera_id, frame_id, track_id ORDER BY confidence DESC, event_id) = 1), a AS (SELECT camera_id, track_id, frame_id, x, confidence, lead(frame_id) OVER w AS t, lead(x) OVER w AS x2, lead(confidence) OVER w AS c2 FROM u WINDOW w AS (PARTITION BY camera_id, track_id ORDER BY frame_id, event_id)) SELECT camera_id, track_id, frame_id, x, round(confidence, 6) AS confidence FROM u UNION ALL SELECT camera_id, track_id, f, round(x + (x2 - x) * (f - frame_id) / (t - frame_id), 6), round(confidence + (c2 - confidence) * (f - frame_id) / (t - frame_id), 6) FROM (SELECT *, unnest(range(frame_id + 1, t)) AS f FROM a WHERE t - frame_id BETWEEN 2 AND 12)")
+@query("win16_drawn_frames", D + ", u AS (SELECT * FROM det QUALIFY row_number() OVER (PARTITION BY camera_id, frame_id, track_id ORDER BY confidence DESC, event_id) = 1), a AS (SELECT camera_id, track_id, frame_id, x, confidence, lead(frame_id) OVER w AS t, lead(x) OVER w AS x2, lead(confidence) OVER w AS c2 FROM u WINDOW w AS (PARTITION BY camera_id, track_id ORDER BY frame_id, event_id)) SELECT camera_id, track_id, frame_id, x, round(confidence, 9) AS confidence FROM u UNION ALL SELECT camera_id, track_id, f, round(x + (x2 - x) * (f - frame_id) / (t - frame_id), 9), round(confidence + (c2 - confidence) * (f - frame_id) / (t - frame_id), 9) FROM (SELECT *, unnest(range(frame_id + 1, t)) AS f FROM a WHERE t - frame_id BETWEEN 2 AND 12)")
 def win16(spark, sf):
     rows = T.best_per_frame(detections(spark, sf))
-    return _round(B.drawn_frames(rows, 12).select("camera_id", "track_id", "frame_id", "x", "confidence"), "x", "confidence")
+    return _round(B.drawn_frames(rows, 12).select("camera_id", "track_id", "frame_id", "x", "confidence"), "x", "confidence", digits=9)
 
 
 @query("win15_dominant_class", D + "SELECT track_id, class_id FROM (SELECT track_id, class_id, count(*) AS n FROM det GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY n DESC, class_id) = 1")
@@ -236,11 +236,11 @@ def top08(spark, sf):
     return B.gallery_page(_trajectories(spark, sf), "duration", 30, 5).select("global_id", "num_cameras", "total_duration")
 
 
-@query("top10_watchlist_order", PROBES + ", b AS (SELECT probe_id, pid, max(sim) AS best FROM c GROUP BY ALL), l AS (SELECT *, CASE WHEN best * 0.9 >= 0.6 THEN 0 WHEN best * 0.9 >= 0.4 THEN 1 ELSE 2 END AS rank FROM b WHERE best >= 0.2) SELECT probe_id, pid, round(best, 6) AS best, rank::INT AS rank FROM l ORDER BY rank, best DESC, probe_id, pid LIMIT 40")
+@query("top10_watchlist_order", PROBES + ", b AS (SELECT probe_id, pid, max(sim) AS best FROM c GROUP BY ALL), l AS (SELECT *, CASE WHEN best * 0.9 >= 0.6 THEN 0 WHEN best * 0.9 >= 0.4 THEN 1 ELSE 2 END AS rank FROM b WHERE best >= 0.2) SELECT probe_id, pid, round(best, 6) AS best, rank::INT AS rank FROM l")
 def top10(spark, sf):
     rows = features(spark, sf)
     hits = search.watchlist_hits(rows.where("index_id % 50 = 0"), rows, "pid", 0.2, 0.9)
-    return _round(B.by_urgency(hits).limit(40).select("probe_id", "pid", "best", "rank"), "best")
+    return _round(B.by_urgency(hits).select("probe_id", "pid", "best", "rank"), "best")
 
 
 @query("top11_multi_camera", TRAJ + "SELECT global_id, num_cameras FROM t WHERE num_cameras > 1 ORDER BY num_cameras DESC, global_id LIMIT 10")

@@ -93,13 +93,13 @@ def vec18(spark, sf):
 def rerank_sql(k1, k2, weight, scale):
     """SQL of k-reciprocal reranking of the probes against all rows."""
     return RANKS + (
-        f", near AS (SELECT * FROM k WHERE place <= {k1}), wide AS (SELECT x.i, x.j FROM near x JOIN near y ON x.i = y.j AND x.j = y.i)"
-        f", few AS (SELECT * FROM k WHERE place <= {round(k1 / 2)}), tight AS (SELECT x.i, x.j FROM few x JOIN few y ON x.i = y.j AND x.j = y.i)"
+        f", near AS MATERIALIZED (SELECT * FROM k WHERE place <= {k1}), wide AS MATERIALIZED (SELECT x.i, x.j FROM near x JOIN near y ON x.i = y.j AND x.j = y.i)"
+        f", few AS MATERIALIZED (SELECT * FROM k WHERE place <= {round(k1 / 2)}), tight AS MATERIALIZED (SELECT x.i, x.j FROM few x JOIN few y ON x.i = y.j AND x.j = y.i)"
         ", z AS (SELECT i, count(*) AS n FROM tight GROUP BY i)"
         ", g AS (SELECT w.i, w.j AS c FROM wide w JOIN tight t ON t.i = w.j JOIN wide o ON o.i = w.i AND o.j = t.j JOIN z ON z.i = w.j GROUP BY w.i, w.j, n HAVING 3 * count(*) > 2 * n)"
-        ", m AS (SELECT i, j FROM wide UNION SELECT g.i, t.j FROM g JOIN tight t ON t.i = g.c)"
+        ", m AS MATERIALIZED (SELECT i, j FROM wide UNION SELECT g.i, t.j FROM g JOIN tight t ON t.i = g.c)"
         f", e AS (SELECT i, j, exp(-{scale} * (1 - sim)) AS e FROM m JOIN a USING (i, j)), v0 AS (SELECT i, j, e / sum(e) OVER (PARTITION BY i) AS w FROM e)"
-        f", v AS (SELECT n.i, v0.j, sum(w) / {k2} AS w FROM near n JOIN v0 ON v0.i = n.j WHERE n.place < {k2} GROUP BY ALL)"
+        f", v AS MATERIALIZED (SELECT n.i, v0.j, sum(w) / {k2} AS w FROM near n JOIN v0 ON v0.i = n.j WHERE n.place < {k2} GROUP BY ALL)"
         ", c AS (SELECT x.i, y.i AS j, sum(least(x.w, y.w)) AS t FROM v x JOIN v y ON x.j = y.j WHERE x.i % 50 = 0 GROUP BY ALL)"
         f" SELECT a.i, a.j, round({weight} * {scale} * (1 - sim) + {1 - weight} * (1 - coalesce(t, 0) / (2 - coalesce(t, 0))), 6) AS distance FROM a LEFT JOIN c USING (i, j) WHERE a.i % 50 = 0 AND a.i <> a.j"
     )
