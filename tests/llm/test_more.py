@@ -31,14 +31,24 @@ def brute_lines(docs, depth=3, similarity=75, min_weight=20, short_tokens=5, sho
         for w in map(masked, (text or "").split("\n")):
             leaves[len(w), w[:depth]].add(w)
     template = {}
-    for (n, lead), lines in leaves.items():
-        free = n - depth
-        if n and len(lines) > 1 and free * (100 - similarity) >= 100:
-            columns = [Counter(w[k] for w in lines).most_common(1)[0] for k in range(depth, n)]
-            fixed = {depth + k: t for k, (t, c) in enumerate(columns) if 2 * c > len(lines)}
-            for w in lines:
-                if 100 * sum(w[k] == t for k, t in fixed.items()) >= similarity * free:
-                    template[w] = ("leaf", n, lead, depth + len(fixed))
+    todo = [((n, lead), list(lines)) for (n, lead), lines in leaves.items() if n and (n - depth) * (100 - similarity) >= 100]
+    while todo:
+        path, group = todo.pop()
+        if len(group) < 2:
+            continue
+        columns = {k: Counter(w[k] for w in group) for k in range(depth, path[0])}
+        fixed = {k: t for k, column in columns.items() for t, c in column.items() if 2 * c > len(group)}
+        own = [w for w in group if 100 * sum(w[k] == t for k, t in fixed.items()) >= similarity * (path[0] - depth)]
+        template |= {w: ("leaf", path, depth + len(fixed)) for w in own}
+        scores = {k: sum(c * c for c in column.values() if 2 <= c <= len(group) / 2) for k, column in columns.items()}
+        best = max(scores, key=lambda k: (scores[k], -k))
+        if scores[best]:
+            parts = defaultdict(list)
+            for w in set(group) - set(own):
+                parts["variable" if fixed.get(best) == w[best] else (best, w[best])].append(w)
+            lone = [t for t, part in parts.items() if t != "variable" and len(part) == 1]
+            parts["variable"] += [w for t in lone for w in parts.pop(t)]
+            todo += [((*path, t), part) for t, part in parts.items()]
 
     def key(line):
         w = masked(line)
@@ -95,6 +105,30 @@ def test_lines_of_a_template(spark):
     assert [got[k][2] for k in range(8)] == [0] + [1] * 7 and got[20][2] == 0 and got[22][2] == 0 and (got[23][2], got[24][2]) == (0, 1)
 
 
+def test_lines_of_a_leaf_with_several_templates(spark):
+    """Messages of one length with the same leading tokens are told apart; a template variable where others part stays whole."""
+    names = "anna bert carl dora emil fred gina hugo ida jan karl lena".split()
+    two = ["user logged into {} server from remote gateway host today now fine", "user logged into {} shares after quick manual check by admin okay"]
+    dated = [
+        "2024-05-01 10:00:{i} INFO connection of {n} to the main server was opened again",
+        "2024-05-01 10:00:{i} INFO disk {n} has less than a tenth of space free",
+        "2024-05-01 10:00:{i} INFO cache entry removed since its time was over for {n}",
+    ]
+    texts = [x.format(n) for x in two for n in names] + [x.format(i=i, n=n) for x in dated for i, n in enumerate(names)]
+    # 30 messages of one leaf, each of 4 lines, with variable fields at different places; and lines alone in it.
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)]
+    many = [[words[(7 * t + 11 * at) % 200] for at in range(9)] for t in range(30)]
+    for t, message in enumerate(many):
+        texts += [" ".join(["to", "be", "sure", *message[: t % 9], words[200 + (t + 5 * k) % 200], *message[t % 9 + 1 :]]) for k in range(4)]
+    texts += [" ".join(["to", "be", "sure", *(words[(k * k + 13 * at) % 400] for at in range(9))]) for k in range(20)]
+    docs = [(k, f"{line}\nown words {'abcdefgh'[k % 8] * (k + 1)}") for k, line in enumerate(texts)]
+    frame = spark.createDataFrame([(d, t, 7, "x", 8) for d, t in docs], DOC).repartition(7)
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in rows(lines.drop_recurring_lines(frame))}
+    assert got == {d: w for (d, _), w in zip(docs, brute_lines(docs), strict=True)}
+    dropped = [got[k][2] for k in range(len(docs))]
+    assert sum(dropped[:24]) == 22 and sum(dropped[24:60]) == 33 and sum(dropped[60:180]) >= 80
+
+
 def brute_spans(text):
     found = []
     for k, rule in enumerate(secrets.RULES):

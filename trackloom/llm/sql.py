@@ -39,18 +39,27 @@ OP5 = f"""WITH {_WORDS},
  k AS (SELECT doc_id, w, coalesce(gone, []) AS gone, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)) AS stay FROM w LEFT JOIN c USING (r))
 SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(array_to_string(list_transform(stay, lambda i: w[i]), ' ')) AS kept_sha256 FROM k"""
 
-OP6 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+#: t goes through the rounds of a leaf: i is the place where the rest of a group parts, done marks lines of a template.
+OP6 = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
  l AS (SELECT r, doc_id, text, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS p FROM d),
  t AS (SELECT *, list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), lambda y: CASE WHEN regexp_matches(y, '[0-9@]') THEN '<*>' ELSE y END) AS w FROM l),
  k AS (SELECT *, array_to_string(w, ' ') AS k, len(w) AS n, array_to_string(w[1:3], ' ') AS lead FROM t),
  u AS (SELECT DISTINCT n, lead, k, w FROM k WHERE 25 * (n - 3) >= 100),
  z AS (SELECT n, lead, count(*) AS m FROM u GROUP BY n, lead HAVING count(*) > 1),
- a AS (SELECT n, lead, k, m, unnest(w[4:]) AS tok, unnest(range(4, n + 1)) AS i FROM u JOIN z USING (n, lead)),
- f AS (SELECT n, lead, i, tok FROM a GROUP BY n, lead, i, tok, m HAVING 2 * count(*) > m),
- g AS (SELECT a.n, a.lead, a.k FROM a JOIN f USING (n, lead, i, tok) GROUP BY ALL HAVING 100 * count(*) >= 75 * (a.n - 3)),
- h AS (SELECT n, lead, 3 + count(*) AS fixed FROM f GROUP BY n, lead),
- q AS (SELECT r, doc_id, text, x, p, CASE WHEN n = 0 THEN NULL WHEN g.k IS NULL THEN 'line ' || k ELSE 'leaf ' || n || ' ' || lead END AS tpl,
-  CASE WHEN g.k IS NULL THEN n ELSE fixed END AS fixed FROM k LEFT JOIN g USING (n, lead, k) LEFT JOIN h USING (n, lead)),
+ rounds AS (SELECT 'leaf ' || n || ' ' || lead AS g, n, k, w, 0::BIGINT AS fixed, false AS done FROM u JOIN z USING (n, lead) UNION ALL SELECT * FROM (
+  WITH live AS (SELECT g, n, k, w FROM rounds WHERE NOT done),
+   a AS (SELECT g, k, unnest(w[4:]) AS tok, unnest(range(4, n + 1)) AS i FROM live),
+   x AS (SELECT *, sum(c) OVER (PARTITION BY g, i) AS m FROM (SELECT g, i, tok, count(*) AS c FROM a GROUP BY ALL)),
+   f AS (SELECT g, i, tok FROM x WHERE m > 1 AND 2 * c > m),
+   own AS (SELECT a.g, a.k FROM a JOIN f USING (g, i, tok) JOIN live ON live.g = a.g AND live.k = a.k GROUP BY a.g, a.k, live.n HAVING 100 * count(*) >= 75 * (live.n - 3)),
+   s AS (SELECT g, i FROM (SELECT g, i, sum(c * c) AS score FROM x WHERE c >= 2 AND 2 * c <= m GROUP BY g, i) QUALIFY row_number() OVER (PARTITION BY g ORDER BY score DESC, i) = 1),
+   rest AS (SELECT live.*, s.i, w[s.i] AS tok, count(*) OVER (PARTITION BY g, w[s.i]) AS c FROM live JOIN s USING (g) ANTI JOIN own USING (g, k))
+  SELECT g, n, k, w, (SELECT 3 + count(*) FROM f WHERE f.g = live.g) AS fixed, true AS done FROM live SEMI JOIN own USING (g, k) UNION ALL
+  SELECT CASE WHEN c = 1 OR f.tok IS NOT NULL THEN rest.g || '/*' ELSE rest.g || '/' || rest.i || '=' || rest.tok END, n, k, w, 0, false
+  FROM rest LEFT JOIN f ON rest.g = f.g AND rest.i = f.i AND rest.tok = f.tok)),
+ g AS (SELECT k, g, fixed FROM rounds WHERE done),
+ q AS (SELECT r, doc_id, text, x, p, CASE WHEN n = 0 THEN NULL WHEN g.k IS NULL THEN 'line ' || k ELSE g.g END AS tpl,
+  CASE WHEN g.k IS NULL THEN n ELSE fixed END AS fixed FROM k LEFT JOIN g USING (k)),
  c AS (SELECT tpl, min(doc_id) AS keeper FROM (SELECT DISTINCT tpl, fixed, doc_id, text FROM q WHERE tpl IS NOT NULL) GROUP BY tpl, fixed
   HAVING count(*) >= 2 AND count(*) * fixed >= 20 AND (fixed >= 5 OR count(*) >= 0.005 * (SELECT count(*) FROM documents)) AND min(doc_id) IS NOT NULL),
  m AS (SELECT q.*, c.tpl IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM q LEFT JOIN c USING (tpl)),
