@@ -53,7 +53,7 @@ BASE = [
 
 #: Further public token formats.
 MORE = [
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1),
+    Rule("private_key", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36}", 0, 40),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 30),
