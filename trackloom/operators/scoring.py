@@ -164,7 +164,7 @@ def merged_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def alert_level(similarity: Column, confidence: Column) -> Column:
-    score = similarity * confidence
+    score = F.round(similarity * confidence, 9)  # a mean at the limit isn't moved below it by the order of its sum
     return F.when(score >= 0.60, "HIGH").when(score >= 0.40, "MEDIUM").otherwise("LOW")
 
 

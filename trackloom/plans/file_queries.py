@@ -183,7 +183,7 @@ def snk13(spark, sf):
     return back.drop("score")
 
 
-@query("prj12_alert_levels", S + "SELECT camera_id, track_id, CASE WHEN mean_confidence * 5 >= 0.6 THEN 'HIGH' WHEN mean_confidence * 5 >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM stats")
+@query("prj12_alert_levels", S + "SELECT camera_id, track_id, CASE WHEN round(mean_confidence * 5, 9) >= 0.6 THEN 'HIGH' WHEN round(mean_confidence * 5, 9) >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM stats")
 def prj12(spark, sf):
     from trackloom.operators.scoring import alert_level
 
