@@ -1,5 +1,8 @@
 """Limits and ties that the order of a sum, a last bit or a large id used to decide."""
 
+import math
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from trackloom.operators import scoring
 from trackloom.operators import tracklets as T
+from trackloom.operators import trajectories
+from trackloom.operators.components import components
 
 
 def test_mean_at_the_limit(spark):
@@ -32,3 +37,48 @@ def against_sql(spark, folder, name, tables):
 def test_repeated_tables(spark, tmp_path, name, table, change):
     duckdb.sql(f"COPY (SELECT * REPLACE ({change}) FROM '/root/testdata/sf0.01/{table}.parquet', range(3) t(k)) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
     against_sql(spark, tmp_path, name, [table])
+
+
+def test_merged_ground_points_of_any_shape(spark):
+    """Random, repeated and odd points against all pairs; cells above each other are tied by inner places too."""
+    rng = random.Random(3)
+    points = [(f, rng.randrange(4), round(rng.uniform(-40, 40), rng.choice([0, 1, 6])), float(rng.randrange(-40, 40))) for f in range(12) for _ in range(3 + 3 * f)]
+    points += points[:20] + [(50, 1, 0.0, 0.0), (50, 2, 3.0, 0.0), (50, 2, 6.0, 0.0), (50, 3, 3.0, 9.9), (51, 1, None, 1.0), (51, 2, None, 1.0), (51, 3, float("nan"), 1.0), (51, 4, float("inf"), 1.0), (None, 5, 1.0, 1.0), (None, 6, 1.0, 1.0)]
+    root = list(range(len(points)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(points):
+        for j, b in enumerate(points[:i]):
+            if a == b or (a[0] == b[0] and None not in a + b and math.hypot(a[2] - b[2], a[3] - b[3]) <= 10):
+                root[find(i)] = find(j)
+    groups = {}
+    for k, p in enumerate(points):
+        groups.setdefault(find(k), []).append(p)
+    want = []
+    for own in groups.values():
+        if own[0][0] is None:  # as in the SQL, rows without a frame go
+            continue
+        ids = [p[1] for p in own]
+        mean = [None if any(p[c] is None for p in own) else sum(p[c] for p in own) / len(own) for c in (2, 3)]
+        want.append((own[0][0], min(ids, key=lambda i: (-ids.count(i), i)), *mean))
+    frame = spark.createDataFrame(points, "frame_id long, track_id long, x double, y double")
+    got = [tuple(r) for r in trajectories.merged_ground_points(frame, 10.0).collect()]
+
+    def shown(rows):
+        return sorted(str(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
+
+    assert shown(got) == shown(want)
+
+
+def test_merged_ground_points_count_places_once(spark, monkeypatch):
+    """Points that stand at few places are compared as places: edges don't grow with the rows."""
+    edges = []
+    monkeypatch.setattr(trajectories, "components", lambda e: edges.append(e.count()) or components(e))
+    for n in (1000, 3000):
+        frame = spark.range(n).select(F.lit(1).cast("long").alias("frame_id"), F.col("id").alias("track_id"), (F.col("id") % 50).cast("double").alias("x"), (F.col("id") % 20).cast("double").alias("y"))
+        trajectories.merged_ground_points(frame, 10.0).collect()
+    assert edges[0] == edges[1]
