@@ -36,38 +36,51 @@ class Parse:
     """An LZ78 parse that can be taken back to a mark, to go on with another text."""
 
     def __init__(self):
-        self.children: dict[int, int] = {}  # phrase number and next character -> phrase number
-        self.keys: list[int] = []
+        self.children: dict[int, int] = {}  # phrase number and next character -> phrase number, both shifted by 21 bits
         self.hashes: list[int] = [_EMPTY]
         self.node = 0
 
     def feed(self, text: str) -> None:
-        children, keys, hashes, node = self.children, self.keys, self.hashes, self.node
-        get = children.get
+        children, hashes, node = self.children, self.hashes, self.node
+        get, append = children.get, hashes.append
+        base, prime, made = _BASE, _PRIME, len(hashes) << 21
         for c in np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).tolist():
-            key = node << 21 | c
+            key = node | c
             known = get(key)
-            if known is None:
-                keys.append(key)
-                children[key] = len(keys)
-                hashes.append((hashes[node] * _BASE + c + 1) % _PRIME)
-                node = 0
-            else:
+            if known:
                 node = known
+            else:
+                children[key] = made
+                made += 2097152  # 1 << 21
+                append((hashes[node >> 21] * base + c + 1) % prime)
+                node = 0
         self.node = node
 
     def mark(self) -> tuple[int, int]:
-        return len(self.keys), self.node
+        return len(self.children), self.node
 
     def back(self, mark: tuple[int, int]) -> None:
         held, self.node = mark
-        for key in self.keys[held:]:
-            del self.children[key]
-        del self.keys[held:], self.hashes[held + 1 :]
+        for _ in range(len(self.children) - held):
+            self.children.popitem()  # the last one made
+        del self.hashes[held + 1 :]
+
+    def signature(self, size: int, since: int = 0, held: np.ndarray | None = None) -> np.ndarray:
+        """The signature of the phrases from a number on, together with that of those before, if held."""
+        found = (_text.mix(np.array(self.hashes[since + 1 :], dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+        found.sort()
+        if held is not None:
+            found = np.concatenate((held, found[: _first_distinct(found, size)]))
+            found.sort()
+        return found[np.concatenate(([True], found[1:] != found[:-1]))][:size] if len(found) else found
+
 
-    def signature(self, size: int) -> np.ndarray:
-        found = np.unique(_text.mix(np.array(self.hashes[1:], dtype=np.uint64)) >> np.uint64(32))
-        return found[:size].astype(np.uint32)
+def _first_distinct(ordered: np.ndarray, size: int) -> int:
+    """How many leading values hold the first `size` distinct ones, or all."""
+    if len(ordered) <= size:
+        return len(ordered)
+    starts = np.flatnonzero(ordered[1:] != ordered[:-1])
+    return int(starts[size - 1]) + 1 if len(starts) >= size else len(ordered)
 
 
 def signature(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -85,8 +98,12 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
     """The share of common hashes among the `size` smallest of two signatures."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    least = np.union1d(a, b)[:size]
-    return float(np.isin(least, np.intersect1d(a, b)).sum() / len(least))
+    both = np.concatenate((a, b))
+    both.sort()
+    first = np.concatenate(([True], both[1:] != both[:-1]))
+    cut = min(size, int(np.count_nonzero(first)))
+    common = np.cumsum(first)[~first] <= cut  # a repeated value, by its place among the distinct ones
+    return float(np.count_nonzero(common) / cut)
 
 
 def fingerprint_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -149,7 +166,7 @@ def compare_edits(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the document before: part, id, text, signature, its parse taken back to where an edit starts
+        held = None  # the document before: part, id, text, signature, and its parse and signature up to where an edit starts
         ended = None  # the part whose borrowed document has come
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
@@ -161,14 +178,16 @@ def compare_edits(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                 parse = Parse()
                 parse.feed(text[:kept])
                 mark = parse.mark()
+                stable = parse.signature(size)
                 parse.feed(text[kept:])
-                own = parse.signature(size)
+                own = parse.signature(size, mark[0], stable)
                 if held is not None and held[0] == part:
-                    _, before_id, before, before_own, before_parse = held
+                    _, before_id, before, before_own, before_parse, before_stable = held
                     stay = len(before) - len(before) // share
                     new = text[: len(before) - stay]
+                    phrases, _ = before_parse.mark()
                     before_parse.feed(new)
-                    edited = before_parse.signature(size)
+                    edited = before_parse.signature(size, phrases, before_stable)
                     out["doc_id"].append(before_id)
                     out["n_chars"].append(len(before))
                     out["edited_sha256"].append(hashlib.sha256((before[:stay] + new).encode()).hexdigest())
@@ -180,7 +199,7 @@ def compare_edits(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                     held, ended = None, part
                 else:
                     parse.back(mark)
-                    held = (part, doc_id, text, own, parse)
+                    held = (part, doc_id, text, own, parse, stable)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             arrays = [pa.array(out["doc_id"], batch.schema.field("doc_id").type), *[pa.array(out[c], k) for c, k in zip(list(out)[1:], kinds, strict=True)]]
             yield pa.RecordBatch.from_arrays(arrays, list(out))
