@@ -103,6 +103,43 @@ def test_complete_linkage(spark):
     assert clusters(graphs.complete_linkage_clusters(nodes(spark, 3), triangle, 0.5)) == [[0, 1, 2]]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_linkage_and_caps_in_rounds(spark, monkeypatch, seed):
+    """With many ties, and components of more edges than a group may hold."""
+    monkeypatch.setattr(graphs, "MAX_GROUP_EDGES", 3)
+    draw = random.Random(seed)
+    n, cap = 24, 4
+    sims = {(i, j): draw.randint(3, 8) / 10 for i in range(n) for j in range(i + 1, n) if draw.random() < 0.4}
+    table = spark.createDataFrame([(i, j, s) for (i, j), s in sims.items()], "i long, j long, sim double")
+
+    held = {k: {k} for k in range(n)}
+    while True:
+        least = {(a, b): min(sims.get((min(x, y), max(x, y)), 0) for x in held[a] for y in held[b]) for a in held for b in held if a < b}
+        s, a, b = max(((s, -a, -b) for (a, b), s in least.items()), default=(0, 0, 0))
+        if s < 0.4:
+            break
+        held[-a] |= held.pop(-b)
+    assert clusters(graphs.complete_linkage_clusters(nodes(spark, n), table, 0.4)) == sorted(map(sorted, held.values()))
+
+    def parts(ids, pairs):
+        of = {k: {k} for k in ids}
+        for _, a, b in pairs:
+            if of[a] is not of[b]:
+                of[a] |= of[b]
+                of.update(dict.fromkeys(of[a], of[a]))
+        return [sorted(x) for x in {id(x): x for x in of.values()}.values()]
+
+    first = sorted((s, i, j) for (i, j), s in sims.items() if s >= 0.4)
+    todo, done = [(x, [p for p in first if p[1] in x]) for x in parts(range(n), first)], []
+    while todo:
+        ids, pairs = todo.pop()
+        if len(ids) <= cap:
+            done.append(ids)
+        else:
+            todo += [(x, [p for p in pairs[1:] if p[1] in x]) for x in parts(ids, pairs[1:])]
+    assert clusters(graphs.capped_clusters(nodes(spark, n), table, 0.4, cap)) == sorted(done)
+
+
 def test_capped_and_coloured(spark):
     e = edges(spark, [(k, k + 1, 0.6 + k / 100) for k in range(9)])
     found = clusters(graphs.capped_clusters(nodes(spark, 10), e, 0.5, 4))
