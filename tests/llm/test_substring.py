@@ -77,3 +77,20 @@ def test_passages(spark, monkeypatch, hot):
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.drop_repeated_substrings(frame).collect()), key=str)
     assert got == brute(docs)
     assert substring.drop_repeated_substrings(frame.limit(0)).collect() == []
+
+
+def test_windows_of_frequent_anchors_reach_no_shard(spark, monkeypatch):
+    """With every anchor frequent, windows are compared by their words alone; a shard that got rows would fail."""
+
+    def failing(window):
+        def run(table):
+            raise AssertionError(f"{len(table)} rows in a shard")
+
+        return run
+
+    monkeypatch.setattr(substring, "HOT_GROUPS", 0)
+    monkeypatch.setattr(substring, "shard_matches", failing)
+    docs = [(k, " ".join(f"w{(k % 3) * j % 50}" for j in range(40)) + f" own{k} " + " ".join(["la"] * 20)) for k in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.drop_repeated_substrings(frame).collect()), key=str)
+    assert got == brute(docs)

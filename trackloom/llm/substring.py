@@ -10,13 +10,13 @@ passages of such anchors travel, equal passages of a document group once. The pa
 its reference: they are dealt into automata of at most about SHARD_WORDS words, whose states know the
 smallest document that has their strings, and all passages of the shard are streamed past each automaton:
 where the statistics reach a window's length, the state of those words gives the smallest document.
-Windows of anchors that very many document groups share are routed one by one, by their own hash, and
-are put together by window before they are shuffled, so that no shard grows with a frequent phrase.
+Windows of anchors that very many document groups share don't go to a shard, which would grow with a frequent
+phrase: rows of equal words, one for each document group at most, are compared by their smallest document.
 
 Words are runs of [^\\x20\\x09-\\x0D]. A null text has no words. Rows with null ids are left whole and
 aren't referred to. Rows with equal ids don't remove words from each other. Words, anchors and
 passages are compared by 64-bit hashes to find passages, and equal passages of a document group share
-the decision of the group's smallest document; the automata compare the words themselves. A window is at
+the decision of the group's smallest document; automata and frequent anchors' windows compare the words themselves. A window is at
 most 62 words longer than RUN."""
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm import _text
@@ -40,7 +40,7 @@ GROUP_BYTES, SHARD_BYTES = 2 << 20, 3 << 20
 SHARD_WORDS = 1_000_000
 #: Anchors of a range of the anchor count, about.
 RANGE_ANCHORS = 2_000_000
-#: Document groups that share an anchor, beyond which its windows are routed one by one.
+#: Document groups that share an anchor, beyond which its windows are compared one by one.
 HOT_GROUPS = 64
 _STEP = 1 << 18
 _SCALE = np.uint64(0xA24BAED4963EE407)
@@ -88,7 +88,7 @@ def _slices(table: pa.Table):
 _ANCHORS = pa.schema([("part", pa.int32()), ("p", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
 _REPEATED = pa.schema([("p", pa.int32()), ("repeated", pa.binary()), ("hot", pa.binary())])
 _PASSAGES = pa.schema([("shard", pa.int32()), ("p", pa.int32()), ("key", pa.int64()), ("words", pa.binary()), ("least", pa.int64()), ("single", pa.bool_())])
-_FOUND = pa.schema([("p", pa.int32()), ("key", pa.int64()), ("mask", pa.int64()), ("smallest", pa.int64())])
+_FOUND = pa.schema([("p", pa.int32()), ("key", pa.int64()), ("mask", pa.int64())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
@@ -268,8 +268,7 @@ def smallest_documents(passages: list[list[int]], least: np.ndarray, window: int
 
 def shard_matches(window: int):
     """For a shard: which windows of a passage also start in a smaller document than the group's own
-    smallest one with it, as bits from the first window; passages without any are left out. For a
-    window of a hot anchor, which has no group, its smallest document."""
+    smallest one with it, as bits from the first window; passages without any are left out."""
 
     def run(table: pa.Table) -> pa.Table:
         token: dict[bytes, int] = {}
@@ -287,10 +286,8 @@ def shard_matches(window: int):
             has = sizes[place] >= bit + window
             rows = np.flatnonzero(has)
             mask[rows] |= (by_word[starts[place[rows]] + bit + window - 1] < least[rows]).astype(np.int64) << bit
-        hot = np.asarray(table.column("p")) < 0
-        smallest = np.where(hot, by_word[starts[place] + window - 1], 0)
-        some = np.flatnonzero((mask != 0) | hot)
-        return pa.table({"p": table.column("p").take(some), "key": table.column("key").take(some), "mask": mask[some], "smallest": smallest[some]}, schema=_FOUND)
+        some = np.flatnonzero(mask)
+        return pa.table({"p": table.column("p").take(some), "key": table.column("key").take(some), "mask": mask[some]}, schema=_FOUND)
 
     return run
 
@@ -362,13 +359,11 @@ def drop_repeated_substrings(documents: DataFrame, window: int = 13, id_col: str
     schema = "shard int, p int, key long, words binary, least long, single boolean"
     traveling = grouped.groupBy("p").cogroup(repeated.repartition(n_parts, "p").groupBy("p")).applyInArrow(traveling_passages(window, n_shards), schema)
     traveling = _text.written(traveling)
-    # A hot window's rows are put together before they are shuffled: one row for each window, without a group.
-    hot = traveling.where("single").groupBy("shard", "key", "words").agg(F.min("least").alias("least"))
     rows = traveling.where("not single").select("shard", "p", "key", "words", "least")
-    rows = rows.unionByName(hot.select("shard", F.lit(-1).alias("p"), "key", "words", "least"))
-    found = _text.written(rows.groupBy("shard").applyInArrow(shard_matches(window), "p int, key long, mask long, smallest long"))
-    smaller = traveling.where("single").join(found.where("p < 0").select("key", "smallest"), "key").where("smallest < least")
-    found = found.where("p >= 0").select("p", "key", "mask").unionByName(smaller.select("p", "key", F.lit(1).cast("long").alias("mask")))
+    found = rows.groupBy("shard").applyInArrow(shard_matches(window), "p int, key long, mask long")
+    smallest = F.min("least").over(Window.partitionBy("key", "words"))
+    smaller = traveling.where("single").select("p", "key", "least", smallest.alias("smallest")).where("smallest < least")
+    found = _text.written(found.unionByName(smaller.select("p", "key", F.lit(1).cast("long").alias("mask"))))
     told = repeated.withColumns({"key": F.lit(None).cast("long"), "mask": F.lit(None).cast("long")}).unionByName(
         found.withColumns({"repeated": F.lit(None).cast("binary"), "hot": F.lit(None).cast("binary")})
     )
