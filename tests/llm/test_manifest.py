@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,31 @@ def test_collocations(spark, bits):
         assert sorted(tuple(r) for r in got.collect()) == brute_collocations(docs, least, cover, top)
 
 
+def test_collocations_hand_on_small_batches(spark, monkeypatch):
+    """A slice's rows leave a task in batches of bounded size, with the same counts."""
+    rows = col._rows_of(spark.createDataFrame([(k, " ".join(f"w{k * j % 97}" for j in range(300)), "en") for k in range(20)], "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    table, batches = rows.toArrow().to_batches(), {}
+
+    class Taken:
+        schema = rows.schema
+
+        def mapInArrow(self, run, kind):
+            taken.extend(run(iter(table)))
+            raise StopIteration
+
+    class Bits:
+        value = np.full(1 << 10, 0xFFFFFFFF, np.uint32)
+
+    for size in (10**6, 100):
+        monkeypatch.setattr(col, "BATCH_ROWS", size)
+        taken = []
+        with pytest.raises(StopIteration):
+            col.counted(Taken(), Bits, 1, 64)
+        assert max(b.num_rows for b in taken) <= size
+        batches[size] = sorted((tuple(r.values()) for b in taken for r in b.to_pylist()), key=repr)
+    assert batches[100] == batches[10**6]
+
+
 def test_collocations_of_nothing(spark):
     assert col.collocations(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
     assert col.collocations(spark.createDataFrame([(1, None, None), (2, "", "en")], "doc_id long, text string, lang string")).count() == 0

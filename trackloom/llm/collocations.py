@@ -35,7 +35,9 @@ from trackloom.llm import _text
 
 LONGEST = 3
 #: Text that a task hashes at once, in bytes; its arrays take about 25 times as much.
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Rows of a batch that a task hands on.
+BATCH_ROWS = 1 << 16
 #: Bits of the table of frequent words and pairs (16 MB), sent to the driver in words of WORD bits.
 TABLE_BITS, WORD = 1 << 27, 32
 #: Parts that each language's candidates are dealt to when the best are chosen, step by step.
@@ -165,7 +167,7 @@ def in_slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[st
     held: dict[str, tuple[list, list[bytes], list[int]]] = {}
     sizes: dict[str, int] = {}
     total = 0
-    for batch in batches:
+    for batch in (part for whole in batches for part in _text.slices(whole, size=size)):
         columns = (batch.column("lang").to_pylist(), batch.column("doc_id").to_pylist(), _text.as_bytes(batch.column("text")))
         for lang, doc_id, text in zip(*columns, strict=True):
             skipped = 0
@@ -221,7 +223,8 @@ def sieve(rows: DataFrame, min_count: int, bits: int) -> DataFrame:
             words = Words(texts, bits)
             for n in range(1, LONGEST):
                 found, counts = np.unique(words.grams(n, salt_of(lang))[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([_signed(found), pa.array(counts)], ["fp", "a"])
+                for k in range(0, len(found), BATCH_ROWS):
+                    yield pa.RecordBatch.from_arrays([_signed(found[k : k + BATCH_ROWS]), pa.array(counts[k : k + BATCH_ROWS])], ["fp", "a"])
 
     return rows.mapInArrow(run, "fp long, a long").groupBy("fp").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count).select("fp")
 
@@ -246,10 +249,17 @@ def counted(rows: DataFrame, frequent: Broadcast, min_count: int, bits: int) ->
     occurrence by document and place; n = 0 holds the number of all words of a language."""
     kind = to_arrow_type(rows.schema["doc_id"].dataType)
 
+    def rows_of(lang: str, ids: list, docs: np.ndarray, *numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        for k in range(0, len(docs), BATCH_ROWS):
+            own = docs[k : k + BATCH_ROWS]
+            arrays = [pa.array(x[k : k + BATCH_ROWS], t) for x, t in zip(numbers, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), *arrays, pa.array([ids[d] for d in own], kind)], ["lang", "n", "fp", "a", "low", "high", "place", "doc_id"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids, texts, skipped in in_slices(batches, SLICE):
             words, salt = Words(texts, bits), salt_of(lang)
-            parts = [([0], [0], [len(words.starts)], [0], [0], [ids[0]], [0])]
+            yield from rows_of(lang, ids, np.zeros(1, np.int64), *([x] for x in (0, 0, len(words.starts), 0, 0, 0)))
             wide = None  # places where a frequent pair starts
             for n in range(1, LONGEST + 1):
                 at, prints, checks = words.grams(n, salt)
@@ -269,13 +279,10 @@ def counted(rows: DataFrame, frequent: Broadcast, min_count: int, bits: int) ->
                 doc = np.searchsorted(words.firsts, at[first], "right") - 1
                 place = at[first] - words.firsts[doc] + np.asarray(skipped)[doc]
                 counts = np.diff(np.append(first, len(prints)))
-                parts.append((np.full(len(first), n), prints[first].view(np.int64), counts, np.minimum.reduceat(checks, first), np.maximum.reduceat(checks, first), [ids[k] for k in doc], place))
-            for p in parts:
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                arrays = [pa.array(x, k) for x, k in zip(p[:5], kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(p[0]), pa.string()), *arrays, pa.array(p[5], kind), pa.array(p[6], pa.int64())], ["lang", "n", "fp", "a", "low", "high", "doc_id", "place"])
+                checked = np.minimum.reduceat(checks, first), np.maximum.reduceat(checks, first)
+                yield from rows_of(lang, ids, doc, np.full(len(first), n), prints[first].view(np.int64), counts, *checked, place)
 
-    found = rows.mapInArrow(run, f"lang string, n int, fp long, a long, low int, high int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, place long")
+    found = rows.mapInArrow(run, f"lang string, n int, fp long, a long, low int, high int, place long, doc_id {rows.schema['doc_id'].dataType.simpleString()}")
     total = found.groupBy("lang", "n", "fp").agg(F.sum("a").alias("a"), F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.struct("doc_id", "place")).alias("pointer"))
     return total.where((F.col("n") == 0) | (F.col("a") >= min_count))
 
