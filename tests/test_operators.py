@@ -509,3 +509,20 @@ def test_multi_query_pairs(spark):
     frame = spark.createDataFrame(rows, "index_id long, camera_id string, class_id int, v array<double>, queries array<array<double>>")
     got = {(r.i, r.j): r.sim for r in simjoin.multi_query_pairs(frame, -2.0, 0.5).collect()}
     assert got == pytest.approx({(0, 1): 0.5, (0, 2): -0.5, (1, 2): 0.0})
+
+
+def test_clear_scores_stream_frames(spark, monkeypatch):
+    """No group holds a component: frames are streamed, also where they reach over Arrow batches."""
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", None)
+    rows = [("c0", f, p, g, iou) for f in range(6) for p, g, iou in ((1, 11, 0.9 if f < 3 else 0.2), (1, 12, 0.5), (2, 12, 0.6), (2, 11, 0.4), (1, 11, 0.3))]
+    rows = [r for r in rows if not (r[1] == 3 and r[2] == 1 and r[3] == 11)]  # the pair (1, 11) is lost in frame 3
+    boxes = {k: spark.createDataFrame([("c0", f, t) for f in range(6) for t in ids], "camera_id string, frame_id long, track_id long") for k, ids in (("p", (1, 2)), ("g", (11, 12)))}
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "2")
+        found = trajectories.clear_scores(spark.createDataFrame(rows, "camera_id string, frame_id long, pred_id long, gt_id long, iou double"), boxes["p"], boxes["g"]).first()
+    finally:
+        spark.conf.set(size, old)
+    # In frame 3 the pair (2, 12) stays and 11 has no partner left but 2; afterwards (1, 11) is made again.
+    assert (found.n_gt, found.misses, found.false_positives, found.switches) == (12, 1, 1, 0)
