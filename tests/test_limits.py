@@ -5,11 +5,12 @@ import random
 import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from trackloom.operators import reports, scoring
+from trackloom.operators import reports, scoring, search, simjoin
 from trackloom.operators import tracklets as T
 from trackloom.operators import trajectories
 from trackloom.operators.components import components
@@ -94,3 +95,19 @@ def test_long_timeline(spark):
     found = {r.global_id: r.timeline for r in reports.cleaned_timelines(rows.unionByName(odd)).collect()}
     assert time.monotonic() - start < 40
     assert [s.at for s in found[7]] == [k for k in range(10000) if k % 4 < 3] and found[8] == [] and found[9] is None
+
+
+def test_best_of_copies():
+    """Copies whose products differ in the last bit tie and go by id, whatever the parts they come in."""
+    rng = np.random.default_rng(5)
+    sims = np.repeat(rng.uniform(-1, 1, (4, 30)), 7, axis=1)
+    ids, noisy = rng.permutation(210), sims + rng.uniform(-1e-15, 1e-15, sims.shape)
+    noisy[3, 5:] = -np.inf
+    best = search.Best(4, 12)
+    for k in range(0, 210, 25):
+        best.add(0, noisy[:2, k : k + 25].copy(), ids[k : k + 25])
+        best.add(2, noisy[2:, k : k + 25].copy(), ids[k : k + 25])
+    row, found, _ = best.table(np.arange(4))
+    for r in range(4):
+        every = [(-sims[r, c], ids[c]) for c in range(210) if noisy[r, c] > -np.inf]
+        assert found[row == r].tolist() == [i for _, i in sorted(every)[:12]]
