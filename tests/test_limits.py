@@ -111,3 +111,21 @@ def test_best_of_copies():
     for r in range(4):
         every = [(-sims[r, c], ids[c]) for c in range(210) if noisy[r, c] > -np.inf]
         assert found[row == r].tolist() == [i for _, i in sorted(every)[:12]]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """k rows for each row leave the tasks, not k for each pair of blocks; rows without a scene meet all scenes."""
+    m = np.random.default_rng(2).standard_normal((40, 4))
+    m = np.concatenate([m, m])
+    camera = [("S01_c0", "S01_c1", "S02_c1", "q", "r")[k % 5] for k in range(80)]
+    rows = spark.createDataFrame([(k, camera[k], k % 2, m[k].tolist()) for k in range(80)], "index_id long, camera_id string, class_id int, v array<double>")
+    monkeypatch.setattr(simjoin, "SMALL", 0)
+    monkeypatch.setattr(simjoin._best_in_blocks, "__defaults__", (7,))
+    scene = [c[:3] if c[0] == "S" else "" for c in camera]
+    for frame, fits in ((rows, lambda i, j: camera[i] != camera[j] and i % 2 == j % 2 and (scene[i] == scene[j] or not scene[i] or not scene[j])), (None, lambda i, j: i != j)):
+        found = simjoin.nearest(rows, 3) if frame else simjoin.plain_neighbours(rows, 3)
+        got = sorted((r.i, r.place, r.j) for r in found.collect())
+        order = lambda i: sorted((j for j in range(80) if fits(i, j)), key=lambda j: (-round(float(m[i] @ m[j]), 9), j))[:3]  # noqa: E731, B023
+        assert got == [(i, p + 1, j) for i in range(80) for p, j in enumerate(order(i))]
+    plain = rows.select("index_id", F.col("index_id").cast("string").alias("camera_id"), F.lit(0).alias("class_id"), "v")
+    assert simjoin._best_in_blocks(plain, 3).count() == 240
