@@ -129,3 +129,8 @@ def test_nearest_in_blocks(spark, monkeypatch):
         assert got == [(i, p + 1, j) for i in range(80) for p, j in enumerate(order(i))]
     plain = rows.select("index_id", F.col("index_id").cast("string").alias("camera_id"), F.lit(0).alias("class_id"), "v")
     assert simjoin._best_in_blocks(plain, 3).count() == 240
+
+
+@pytest.mark.parametrize("name", ["vec17_model_fusion", "msc10_blended_scores"])
+def test_scores_of_a_pair_are_not_shuffled(spark, name):
+    assert "Exchange" not in entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
