@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from trackloom.operators import reports, scoring, search, simjoin
+from trackloom.operators import evaluation, reports, scoring, search, simjoin
 from trackloom.operators import tracklets as T
 from trackloom.operators import trajectories
 from trackloom.operators.components import components
@@ -145,3 +145,31 @@ def test_pairs_are_counted_where_they_are_made(spark, monkeypatch, block):
     pairs = [r for r in simjoin.similar_pairs(rows, -1e9).collect() if r.i % 5 == r.j % 5]
     want = [len(pairs), sum(r.sim >= 0.5 for r in pairs), sum(r.sim >= 2.0 for r in pairs)]
     assert want[2] > 0 and list(simjoin.pair_counts(rows, "label", [0.5, 2.0], block).first()) == want
+
+
+def test_most_in_common_holds_pairs_only(spark, monkeypatch):
+    """Random pairs against the dense table, with and without rounds of sure pairs; 10,000 ids in one ring of equal pairs, whose
+    dense table would take 200 MB."""
+    rng = random.Random(8)
+    for _ in range(60):
+        n, m = rng.randrange(1, 9), rng.randrange(1, 9)
+        table = np.array([[rng.choice([0, 0, 1, 1, 2, 5]) for _ in range(m)] for _ in range(n)])
+        a, b = np.nonzero(table)
+        want = sum(table[i, j] for i, j in evaluation.best_assignment(-table))
+        assert evaluation.most_weight(a.tolist(), b.tolist(), table[a, b].tolist()) == want
+    ring = [(0, k, (k + s) % 5000, 1) for k in range(5000) for s in (0, 1)]
+    some = [(c, rng.randrange(40), rng.randrange(40), rng.choice([1, 1, 2, 7])) for c in range(1, 5) for _ in range(90)]
+    some = list({r[:3]: r for r in some}.values())
+    rows = ring + some
+    frame = spark.createDataFrame(rows, "camera_id int, gt_id long, pred_id long, n long")
+    want = {0: 5000}
+    for c in range(1, 5):
+        table = np.zeros((40, 40), dtype=int)
+        for _, g, p, n in (r for r in some if r[0] == c):
+            table[g, p] = n
+        want[c] = int(sum(table[i, j] for i, j in evaluation.best_assignment(-table)))
+    for limit in (1 << 20, 10):
+        monkeypatch.setattr(evaluation, "GROUP_PAIRS", limit)
+        assert {r.camera_id: r.idtp for r in evaluation.most_in_common(frame, ["camera_id"]).collect()} == want
+    copies = spark.createDataFrame([(0, g, p, 4 if g // 3 == p // 3 else 2) for g in range(30) for p in range(30) if g // 3 == p // 3 or (g + p) % 4 == 0], "camera_id int, gt_id long, pred_id long, n long")
+    assert sorted(r.idtp for r in evaluation.sure_blocks(copies, ["camera_id"]).collect()) == [12] * 10
