@@ -173,3 +173,21 @@ def test_most_in_common_holds_pairs_only(spark, monkeypatch):
         assert {r.camera_id: r.idtp for r in evaluation.most_in_common(frame, ["camera_id"]).collect()} == want
     copies = spark.createDataFrame([(0, g, p, 4 if g // 3 == p // 3 else 2) for g in range(30) for p in range(30) if g // 3 == p // 3 or (g + p) % 4 == 0], "camera_id int, gt_id long, pred_id long, n long")
     assert sorted(r.idtp for r in evaluation.sure_blocks(copies, ["camera_id"]).collect()) == [12] * 10
+
+
+@pytest.mark.parametrize("block, frames", [(2048, 9), (7, 9), (7, 400)])
+def test_shared_frames_are_counted_in_blocks(spark, monkeypatch, block, frames):
+    """Rows that meet in one frame aren't joined: only tracks and their frames are shuffled."""
+    rng = random.Random(9)
+    monkeypatch.setattr(T, "TRACK_BLOCK", block)
+    monkeypatch.setattr(T, "FRAME_STEP", 4)
+    monkeypatch.setattr(T, "PAIR_STEP", 10)
+    rows = [("ab"[rng.randrange(2)], rng.randrange(frames), rng.randrange(-20, 20)) for _ in range(500)] + [(None, 1, 1), ("a", None, 2), ("a", 1, None)]
+    seen = {}
+    for c, f, t in rows:
+        if None not in (c, f, t):
+            seen.setdefault(t, {}).setdefault(c, set()).add(f)
+    want = [(a, b, sum(len(seen[a].get(c, set()) & seen[b].get(c, set())) >= 2 for c in "ab")) for a in seen for b in seen if a < b]
+    found = T.shared_frames(spark.createDataFrame(rows, "camera_id string, frame_id long, track_id long"), 2)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(r for r in want if r[2])
