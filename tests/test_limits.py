@@ -191,3 +191,24 @@ def test_shared_frames_are_counted_in_blocks(spark, monkeypatch, block, frames):
     found = T.shared_frames(spark.createDataFrame(rows, "camera_id string, frame_id long, track_id long"), 2)
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == sorted(r for r in want if r[2])
+
+
+@pytest.mark.parametrize("pairs", [1 << 22, 60])
+def test_hota_of_boxes(spark, monkeypatch, pairs):
+    """The scores of all overlaps given one by one, which aren't joined any more; ids with several boxes in a frame, too."""
+    monkeypatch.setattr(trajectories, "HOTA_PAIRS", pairs)
+    rng = random.Random(6)
+    sides = []
+    for n in (14, 11):
+        rows = [("ab"[rng.randrange(2)], rng.randrange(12), rng.randrange(n), *(rng.uniform(1, 60) for _ in range(4))) for _ in range(260)]
+        sides.append(spark.createDataFrame(rows + [(None, 1, 1, 1.0, 1.0, 9.0, 9.0), ("a", None, 1, 1.0, 1.0, 9.0, 9.0)], "camera_id string, frame_id long, track_id long, x double, y double, w double, h double"))
+    sides[1] = sides[1].unionByName(sides[0].where("camera_id = 'a'").limit(80))
+    want = {r.camera_id: r for r in trajectories.hota_scores(evaluation.box_matches(*sides, 1e-6), *sides).collect()}
+    found = trajectories.box_hota_scores(*sides, 1e-6)
+    got = {r.camera_id: r for r in found.collect()}
+    assert {"a", "b"} <= set(got) == set(want) and all(got[c][k] == pytest.approx(want[c][k], abs=1e-9) for c in want for k in ("hota", "det_a", "ass_a"))
+
+
+def test_hota_joins_no_overlaps(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "box_matches", None)
+    assert entry.queries()["evl04_hota_scores"](spark, "/root/testdata/sf0.001").count() == 4
