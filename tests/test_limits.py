@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from trackloom.operators import evaluation, reports, scoring, search, simjoin
+from trackloom.operators import evaluation, graphs, reports, scoring, search, simjoin
 from trackloom.operators import tracklets as T
 from trackloom.operators import trajectories
 from trackloom.operators.components import components
@@ -212,3 +212,17 @@ def test_hota_of_boxes(spark, monkeypatch, pairs):
 def test_hota_joins_no_overlaps(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "box_matches", None)
     assert entry.queries()["evl04_hota_scores"](spark, "/root/testdata/sf0.001").count() == 4
+
+
+def test_bridges_of_large_components(spark, monkeypatch):
+    """No task holds a component's edges: two forests are enough, and any group limit is without effect."""
+    monkeypatch.setattr(graphs, "MAX_GROUP_EDGES", 1)
+    rng = random.Random(4)
+    edges = [(a, b, rng.choice([0.5, 0.52, 0.7])) for base in (0, 100, 200) for a in range(base, base + 25) for b in range(a + 1, base + 25) if rng.random() < 0.8]
+    edges += [(k, k + 100, 0.5 + k / 50) for k in (0, 3)] + [(124, 200, 0.51), (224, 300, 0.53), (300, 301, 0.9), (301, 302, 0.5), (301, 302, 0.5), (400, 401, 0.55)]
+    frame = spark.createDataFrame(edges, "i long, j long, sim double").repartition(3)
+    cut = graphs.bridges([e[:2] for e in edges])
+    want = [e for k, e in enumerate(edges) if k not in cut or e[2] >= 0.6]
+    assert len(want) == len(edges) - 3 and sorted(map(tuple, graphs.without_weak_bridges(frame, 0.5, 0.1).collect())) == sorted(want)
+    forests = graphs.TwoForests()
+    assert sum(forests.add(a, b) for a in range(200) for b in range(a)) <= 2 * 199
